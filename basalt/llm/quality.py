@@ -20,11 +20,9 @@ labels are ignored. Without labels, or with one class only, every score is the l
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
@@ -32,9 +30,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
+from . import sums
 from .scratch import plain
 
-BUCKETS, DIM, NONZERO, ROWS_A_BLOCK = 8192, 32, 2, 1024
+BUCKETS, DIM, NONZERO = 8192, 32, 2
 WIDTH = 2 * DIM + 4
 
 
@@ -54,7 +53,7 @@ def _buckets(w: K.Words, buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sums = np.zeros(2 * BUCKETS * DIM, np.int64)
+    total = np.zeros(2 * BUCKETS * DIM, np.int64)
     for batch in batches:
         for _, _, buf, offsets in K.text_chunks(batch.column(0)):
             w = K.words(buf, offsets)
@@ -70,32 +69,14 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     cells += [row * DIM + place, row[1:][same] * DIM + place[:-1][same], row[:-1][same] * DIM + place[1:][same]]
                     signs += [sign, sign[:-1][same], sign[1:][same]]
                 cells, signs = np.concatenate(cells), np.concatenate(signs)
-                sums += np.bincount(cells[signs > 0], minlength=len(sums)) - np.bincount(cells[signs < 0], minlength=len(sums))
-    task = TaskContext.get().partitionId()
-    blocks = sums.reshape(-1, ROWS_A_BLOCK * DIM)
-    yield pa.record_batch(
-        [pa.array(range(len(blocks)), pa.int32()), pa.array([task] * len(blocks), pa.int32()), pa.array([zlib.compress(b.tobytes(), 1) for b in blocks], pa.binary())],
-        names=["block", "task", "sums"],
-    )
-
-
-def _add(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    total = np.zeros(ROWS_A_BLOCK * DIM, np.int64)
-    for z in rows["sums"]:
-        total += np.frombuffer(zlib.decompress(z), np.int64)
-    return pd.DataFrame({"block": [key[0]], "task": [key[1] if len(key) > 1 else 0], "sums": [zlib.compress(total.tobytes(), 1)]})
+                total += np.bincount(cells[signs > 0], minlength=len(total)) - np.bincount(cells[signs < 0], minlength=len(total))
+    yield sums.emit(total, TaskContext.get().partitionId())
 
 
 def context_vectors(docs: DataFrame) -> np.ndarray:
     """The (2 * BUCKETS, DIM) table of unit context vectors: 2 MB, whatever the input."""
-    shape = "block int, task int, sums binary"
-    part = plain(docs, text="string").mapInArrow(_contexts, shape)
-    some = part.withColumn("task", F.pmod("task", F.lit(64))).groupBy("block", "task").applyInPandas(_add, shape)
-    full = some.groupBy("block").applyInPandas(_add, shape)
-    out = np.zeros((2 * BUCKETS * DIM // (ROWS_A_BLOCK * DIM), ROWS_A_BLOCK * DIM), np.float32)
-    for r in full.collect():
-        out[r["block"]] = np.frombuffer(zlib.decompress(r["sums"]), np.int64)
-    out = out.reshape(-1, DIM)
+    parts = plain(docs, text="string").mapInArrow(_contexts, sums.SCHEMA)
+    out = sums.total(parts, 2 * BUCKETS * DIM).astype(np.float32).reshape(-1, DIM)
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
 
 
