@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import ann, decontam, lm, mixing, pii, quality
+from . import ann, decontam, lm, mixing, pii, quality, suffixes
 from .jaccard import jaccard_join
 from .scratch import Scratch
 
@@ -31,6 +31,10 @@ def op3_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"), Scratch(spark)).drop("perplexity")
 
 
+def op6_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.repeated_spans(table(spark, sf_dir, "documents"), Scratch(spark))
+
+
 def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), Scratch(spark))
 
@@ -49,7 +53,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_pii_scan, op2_mix_sources, op3_language_model, op7_nearest_neighbours, op8_quality_score, op9_decontaminate, op10_jaccard_join)}
+    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_pii_scan, op2_mix_sources, op3_language_model, op6_repeated_passages, op7_nearest_neighbours, op8_quality_score, op9_decontaminate, op10_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
