@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import ann, decontam, lm, mixing, pii, quality, suffixes
+from . import ann, chat, decontam, licenses, lm, mixing, pii, quality, suffixes
 from .jaccard import jaccard_join
 from .scratch import Scratch
 
@@ -31,6 +31,15 @@ def op3_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"), Scratch(spark)).drop("perplexity")
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op5_chat_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = chat.transcript_pieces(table(spark, sf_dir, "conversations"))
+    return chat.format_turns(pieces, Scratch(spark))
+
+
 def op6_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.repeated_spans(table(spark, sf_dir, "documents"), Scratch(spark))
 
@@ -53,7 +62,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_pii_scan, op2_mix_sources, op3_language_model, op6_repeated_passages, op7_nearest_neighbours, op8_quality_score, op9_decontaminate, op10_jaccard_join)}
+    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_pii_scan, op2_mix_sources, op3_language_model, op4_license_scan, op5_chat_turns, op6_repeated_passages, op7_nearest_neighbours, op8_quality_score, op9_decontaminate, op10_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
