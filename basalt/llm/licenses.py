@@ -5,8 +5,8 @@ words. For every length among the templates, windows of that many words overlap
 more, so some window is aligned with a match to within a sixteenth of its length. A template is found
 where a window, widened by an eighth on both sides, contains ``share`` (0.8) of its shingles.
 
-Such a window and its template have a Jaccard similarity of 0.58 or more; 32 bands of two values then
-miss it with probability 2e-6, and unchanged copies of short templates (whose windows start at every
+Such a window and its template have a Jaccard similarity of 0.58 or more; 16 bands of one value then
+miss it with probability 1e-6, and unchanged copies of short templates (whose windows start at every
 word) never. Before windows are cut, texts and windows without any *anchor* are passed over, which loses
 nothing: anchors are words chosen so that, of each template, the shingles without one are fewer than a
 match must hold.
@@ -47,7 +47,7 @@ TEMPLATES = {
     "cc-by-sa-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
     "cc0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
 }
-BANDS, ROWS = 32, 2
+BANDS, ROWS = 16, 1
 
 
 def words_of(text: str) -> list[str]:
@@ -110,17 +110,20 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, share: float
     marks = anchors(templates, share)
     table = spark.createDataFrame(known, "license string, length int, shingles array<string>, needed int")
     table = table.select("license", "length", F.col("shingles").alias("wanted"), "needed", F.explode(_bands(F.col("shingles"))).alias("band"))
-    lengths = sorted({n for _, n, _, _ in known})
+    by_length: dict[int, set[str]] = {}
+    for _, n, shingles, _ in known:
+        by_length.setdefault(n, set()).update(w for s in shingles for w in s.split() if w in marks)
 
     rows = plain(docs, doc_id="long", text="string")
     rows = rows.where(_let(F.lower("text"), lambda low: reduce(or_, [F.contains(low, F.lit(m)) for m in marks], F.lit(False))))
     rows = rows.select("doc_id", _words(F.col("text")).alias("words"))
-    rows = rows.withColumn("places", F.filter(F.sequence(F.lit(1), F.size("words")), lambda i: F.element_at("words", i).isin(marks))).where("size(words) > 1 and size(places) > 0")
-    rows = rows.withColumn("length", F.explode(F.array(*[F.lit(n) for n in lengths])))
+    kinds = F.array(*[F.struct(F.lit(n).alias("length"), F.array(*[F.lit(w) for w in sorted(ws)]).alias("marks")) for n, ws in sorted(by_length.items())])
+    rows = rows.select("doc_id", "words", F.explode(kinds).alias("kind")).select("doc_id", "words", "kind.*")
+    rows = rows.withColumn("places", F.filter(F.sequence(F.lit(1), F.size("words")), lambda i: F.array_contains("marks", F.element_at("words", i)))).where("size(words) > 1")
     step = F.greatest(F.lit(1), F.floor(F.col("length") / 8)).cast("int")
     first = lambda p: F.greatest(F.lit(1), p - F.col("length") + 1)
     starts = F.array_distinct(F.flatten(F.transform("places", lambda p: F.filter(F.sequence(first(p), p), lambda s: (s - 1) % step == 0))))
-    rows = rows.select("doc_id", "words", "length", F.explode(starts).alias("start"))
+    rows = rows.select("doc_id", "words", "length", F.explode_outer(starts).alias("start")).where("start is not null")
     margin = F.when(F.col("length") > 16, step).otherwise(0)
     begin = F.greatest(F.lit(1), F.col("start") - margin)
     windows = rows.select(
@@ -128,7 +131,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, share: float
         _shingles(F.slice("words", F.col("start"), F.col("length"))).alias("shingles"),
         _shingles(F.slice("words", begin, F.col("start") + F.col("length") + margin - begin)).alias("wide"),
     ).where("size(shingles) > 0")
-    keyed = windows.withColumn("band", F.explode(F.array_distinct(_bands(F.col("shingles")))))
+    keyed = windows.withColumn("band", F.explode_outer(F.array_distinct(_bands(F.col("shingles")))))
     found = keyed.join(F.broadcast(table), ["length", "band"])
     met = F.size(F.array_intersect("wanted", "wide"))
     found = found.withColumn("met", met).where("met >= needed")
