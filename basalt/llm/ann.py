@@ -174,7 +174,7 @@ def _search(key: tuple, index: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFr
                 best = np.lexsort((ids[ends[nodes]], -exact))[:CLASSES]
                 out["vec"].append(asked[at + i])
                 out["found"].append([{"far": float(-exact[b]), "id": int(c)} for b in best for c in ids[ends[nodes[b]] : ends[nodes[b] + 1]]])
-    return pd.DataFrame(out)
+    return pd.DataFrame({name: pd.Series(column, dtype=object) for name, column in out.items()})
 
 
 def search(embeddings: DataFrame, scratch: Scratch, query_step: int = 50, k: int = 5, block: int = 4096) -> DataFrame:

@@ -276,15 +276,16 @@ def keep_one(docs: DataFrame, scratch: Scratch, **settings) -> DataFrame:
     result = jaccard_join(docs, scratch, **settings)
     stay = result.where(F.col("cls") == F.col("kept_cls")).select(F.col("cls").alias("_cls"), F.col("least_id").alias("_id")).distinct()
     names = docs.columns
-    schema = docs.withColumn("_cls", F.lit(None).cast("binary")).schema
-    at = names.index("text")
+    at, own = names.index("text"), f"c{names.index('doc_id')}"
+    docs = docs.toDF(*[f"c{i}" for i in range(len(names))])  # so that no column is named like those added here
+    fields = [*docs.columns, "cls"]
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, buf, offsets in K.text_chunks(batch.column(at)):
                 cls = K.keys_to_arrow(K.sequence_keys(K.words(buf, offsets)))
-                yield pa.record_batch([*(c.slice(i, j - i) for c in batch.columns), cls], names=[*names, "_cls"])
+                yield pa.record_batch([*(c.slice(i, j - i) for c in batch.columns), cls], names=fields)
 
-    marked = docs.mapInArrow(keyed, schema)
-    same = (marked["_cls"] == stay["_cls"]) & marked["doc_id"].cast("long").eqNullSafe(stay["_id"])
-    return marked.join(stay, same, "left_semi").dropDuplicates(["_cls", "doc_id"]).select(*names)
+    marked = docs.mapInArrow(keyed, docs.withColumn("cls", F.lit(None).cast("binary")).schema)
+    same = (marked["cls"] == stay["_cls"]) & marked[own].cast("long").eqNullSafe(stay["_id"])
+    return marked.join(stay, same, "left_semi").dropDuplicates(["cls", own]).select(*docs.columns).toDF(*names)

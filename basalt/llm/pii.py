@@ -24,7 +24,6 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from .scratch import plain
 
@@ -325,6 +324,7 @@ def scan(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with each span replaced by its kind in brackets, and n_chars, if there is one, counted anew; null texts stay null."""
     sent, at = docs.sparkSession.sparkContext.broadcast(model()), docs.columns.index("text")
+    count = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -339,7 +339,10 @@ def redact(docs: DataFrame) -> DataFrame:
                             made += [text[last : max(a, last)], f"[{KINDS[k].upper()}]"]
                             last = b
                     out.append(text if not spans else "".join([*made, text[last:]]))
-            yield batch.set_column(at, batch.schema.field(at), pa.array(out, batch.schema.field(at).type))
+            batch = batch.set_column(at, batch.schema.field(at), pa.array(out, batch.schema.field(at).type))
+            if count is not None:
+                field = batch.schema.field(count)
+                batch = batch.set_column(count, field, pa.array([None if t is None else len(t) for t in out], field.type))
+            yield batch
 
-    out = docs.mapInArrow(run, docs.schema)
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+    return docs.mapInArrow(run, docs.schema)

@@ -42,5 +42,9 @@ class Scratch:
 
 
 def plain(df: DataFrame, **kinds: str) -> DataFrame:
-    """Just the named columns, cast; extra columns, whatever their names, go no further."""
-    return df.select(*[df[f"`{c}`"].cast(kind).alias(c) for c, kind in kinds.items()])
+    """Just the named columns, cast; extra columns, whatever their names (case apart too), go no further."""
+    names = df.columns
+    low = [n.lower() for n in names]
+    place = {c: names.index(c) if c in names else low.index(c.lower()) for c in kinds}
+    numbered = df.toDF(*[f"c{i}" for i in range(len(names))])
+    return numbered.select(*[numbered[f"c{place[c]}"].cast(kind).alias(c) for c, kind in kinds.items()])
