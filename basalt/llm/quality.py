@@ -91,10 +91,11 @@ def features(w: K.Words, buf: np.ndarray, vectors: np.ndarray) -> np.ndarray:
             out[full, k * DIM : (k + 1) * DIM] = mean
             out[full, 2 * DIM + k] = np.linalg.norm(mean, axis=1)
         pairs = K.grams(w.hashes, 2)
-        bits = np.unpackbits(np.append(pairs, K.U(0)).view(np.uint8).reshape(-1, 8)[:, :4], axis=1)
+        bits = np.unpackbits(np.append(pairs, K.U(0)).view(np.uint8).reshape(-1, 8), axis=1)
         bits[np.maximum(w.first[full + 1] - 1, 0)] = 0  # a pair across two documents
         signs = 2 * np.add.reduceat(bits, w.first[full], axis=0, dtype=np.int32) - (size[full, None] - 1)
-        out[full, 2 * DIM + 2] = np.sqrt(np.mean(np.square(signs, dtype=np.float64), axis=1)) / np.maximum(size[full] - 1, 1)
+        spread = np.sqrt(np.mean(np.square(signs, dtype=np.float64), axis=1) / np.maximum(size[full] - 1, 1))
+        out[full, 2 * DIM + 2] = np.log(spread + 0.1)  # near 0 where all pairs differ, whatever the length
     out[:, -1] = np.log1p(size)
     return out
 
@@ -126,7 +127,7 @@ class Network:
             p = 1 / (1 + np.exp(-np.clip(h @ w[2] + w[3], -30, 30)))
             d = (p - ys[pick]) / len(pick)
             back = (d @ w[2].T) * (h > 0)
-            grads = [a.T @ back + 1e-4 * w[0], back.sum(0), h.T @ d + 1e-4 * w[2], d.sum(0)]
+            grads = [a.T @ back + 1e-3 * w[0], back.sum(0), h.T @ d + 1e-3 * w[2], d.sum(0)]
             t += 1
             rate = 3e-3 * (1 - t / (steps + 1))
             for k, g in enumerate(grads):
