@@ -194,11 +194,11 @@ statement("join_cross", "SELECT r_name, n_name FROM region CROSS JOIN nation")
 statement("subquery_in", "SELECT p_partkey FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity >= 50)")
 
 
-@register("range_join", "SELECT o_orderkey, p_partkey FROM (SELECT * FROM orders WHERE o_orderkey % 50 = 0) o JOIN (SELECT * FROM part WHERE p_size = 7) p ON o_totalprice >= p_retailprice * 100 AND o_totalprice < p_retailprice * 100 + 500")
+@register("range_join", "SELECT o_orderkey, p_partkey FROM orders JOIN part ON o_totalprice >= p_retailprice * 100 AND o_totalprice < p_retailprice * 100 + 20")
 def range_join(spark, sf_dir):
     e = Engine(spark, sf_dir)
-    spans = e.table("part").where("p_size = 7").selectExpr("p_partkey", "p_retailprice * 100 AS low", "p_retailprice * 100 + 500 AS high")
-    return joins.range_join(e.table("orders").where("o_orderkey % 50 = 0"), spans, "o_totalprice", "low", "high", 500.0).select("o_orderkey", "p_partkey")
+    spans = e.table("part").selectExpr("p_partkey", "p_retailprice * 100 AS low", "p_retailprice * 100 + 20 AS high")
+    return joins.range_join(e.table("orders"), spans, "o_totalprice", "low", "high", 20.0).select("o_orderkey", "p_partkey")
 
 
 @register("asof_join", "SELECT e.event_id, p.value AS last_purchase FROM (SELECT * FROM events WHERE event_type <> 'purchase') e ASOF LEFT JOIN (SELECT user_id, ts, max(value) AS value FROM events WHERE event_type = 'purchase' GROUP BY user_id, ts) p ON e.user_id = p.user_id AND e.ts >= p.ts")
