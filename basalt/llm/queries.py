@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import ann, chat, decontam, licenses, lm, mixing, pii, quality, suffixes
+from . import ann, chat, decontam, licenses, lm, mixing, oracles, pii, quality, suffixes
 from .jaccard import jaccard_join
 from .scratch import Scratch
 
@@ -66,4 +66,10 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+    known = {
+        "pipeline": corpus_pipeline.ORACLE_SQL,
+        "op5_chat_turns": oracles.CHAT_TURNS,
+        "op6_repeated_passages": oracles.REPEATED_PASSAGES,
+        "op10_jaccard_join": oracles.JACCARD_JOIN,
+    }
+    return {name: text for name, text in known.items() if text}
