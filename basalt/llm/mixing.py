@@ -122,18 +122,18 @@ def mix(docs: DataFrame, scratch: Scratch, seed: int = 17, weights: tuple[float,
     plan = counts.where("size > 0").groupBy("src").applyInPandas(_plan(budgets), "src string, size long, n long, whole long, extra long")
     plan = scratch.table(plan, "plan")
 
-    split = plan.where("extra > 0 and extra < n").withColumn("buckets", F.when(F.col("n") > 1024, F.ceil(F.sqrt("n"))).otherwise(1).cast("long"))
-    held = rows.join(split.select("src", "size", "whole", "extra", "buckets"), ["src", "size"]).withColumn("bucket", F.pmod(F.xxhash64(F.lit(1), "h"), F.col("buckets")))
+    split = plan.where("extra > 0 and extra < n").withColumn("buckets", F.when(F.col("n") > 64, F.ceil(F.sqrt("n"))).otherwise(1).cast("long"))
+    held = rows.join(split.select("src", "size", "whole", "extra", "buckets").hint("merge"), ["src", "size"]).withColumn("bucket", F.pmod(F.xxhash64(F.lit(1), "h"), F.col("buckets")))
     of_bucket = held.groupBy("src", "size", "bucket", "extra").agg(F.count("*").alias("m"))
     before = F.coalesce(F.expr("sum(m) over (partition by src, size order by bucket rows between unbounded preceding and 1 preceding)"), F.lit(0))
     quota = of_bucket.withColumn("quota", F.least(F.greatest(F.col("extra") - before, F.lit(0)), "m")).select("src", "size", "bucket", "m", "quota")
-    known = held.select("doc_id", "src", "size", "h", "bucket", "whole").join(quota, ["src", "size", "bucket"])
+    known = held.select("doc_id", "src", "size", "h", "bucket", "whole").join(quota.hint("merge"), ["src", "size", "bucket"])
     rank = F.expr("row_number() over (partition by src, size, bucket order by h, doc_id)")
     border = F.expr("quota > 0 and quota < m")
     columns = ["doc_id", "src", "size", "times"]
     ranked = known.where(border).withColumn("times", F.col("whole") + (rank <= F.col("quota")).cast("long"))
     others = known.where(~border).withColumn("times", F.col("whole") + (F.col("quota") > 0).cast("long"))
-    sure = rows.join(plan.select("src", "size", "n", "whole", "extra"), ["src", "size"], "left").where("extra is null or extra = 0 or extra = n")
+    sure = rows.join(plan.select("src", "size", "n", "whole", "extra").hint("merge"), ["src", "size"], "left").where("extra is null or extra = 0 or extra = n")
     sure = sure.withColumn("times", F.coalesce(F.col("whole") + (F.col("extra") > 0).cast("long"), F.lit(0)))
     out = sure.select(*columns).unionByName(others.select(*columns)).unionByName(ranked.select(*columns))
     budget = [(s, int(totals[s]), float(budgets[s])) for s in order]
