@@ -14,8 +14,8 @@ if, for some n up to 24, the n words before and the 24 - n words after agree, so
 these 25 keys.
 
 Neighbours in different partitions are compared through the partitions' first and last suffixes.
-Words around are compared by eight-bit codes: where a match ends, it is taken to go on with
-probability 1/256 a word.
+Words around are compared by sixteen-bit codes: where a match ends, it is taken to go on with
+probability 1/65,536 a word.
 
 Defined results: only repeats across documents count; rows with the same doc_id (null being one id)
 are one document; null, empty and shorter texts have no spans; an empty table gives no rows.
@@ -62,15 +62,15 @@ def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not len(at):
                 continue
             doc = np.searchsorted(w.first, at, "right") - 1
-            codes = np.zeros(len(w.hashes) + 2 * SIDE, np.uint8)
-            codes[SIDE:-SIDE] = (w.hashes >> K.U(9)).astype(np.uint8)
+            codes = np.zeros(len(w.hashes) + 2 * SIDE, np.uint16)
+            codes[SIDE:-SIDE] = (w.hashes >> K.U(9)).astype(np.uint16)
             place = at - w.first[doc]
             left = np.minimum(place, SIDE)
             right = np.minimum(w.first[doc + 1] - at - RUN, SIDE)
             steps = np.arange(SIDE)
             after = codes[at[:, None] + RUN + SIDE + steps] * (steps < right[:, None])
             before = codes[at[:, None] + SIDE - 1 - steps] * (steps < left[:, None])
-            around = np.concatenate([after, before, left[:, None], right[:, None]], axis=1).astype(np.uint8)
+            around = np.concatenate([after, before, left[:, None], right[:, None]], axis=1).astype(np.uint16)
             ids = batch.column(0).slice(i, j - i).take(pa.array(doc))
             yield pa.record_batch([K.signed(run), K.keys_to_arrow(around), ids, pa.array(place)], names=["run", "around", "doc_id", "place"])
 
@@ -99,7 +99,7 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Over sorted suffixes: spans found ("span"), what the neighbours don't settle ("open"), first and last suffixes ("first", "last")."""
     part, tail, begun = TaskContext.get().partitionId(), None, False
     for batch in batches:
-        now = (batch.column(0).to_numpy(), K.binary_rows(batch.column(1), np.uint8, 2 * SIDE + 2), batch.column(2).fill_null(NONE).to_numpy(), batch.column(3).to_numpy())
+        now = (batch.column(0).to_numpy(), K.binary_rows(batch.column(1), np.uint16, 2 * SIDE + 2), batch.column(2).fill_null(NONE).to_numpy(), batch.column(3).to_numpy())
         rows = now if tail is None else tuple(np.concatenate([t, x]) for t, x in zip(tail, now, strict=True))
         if not begun:
             begun = True
@@ -150,7 +150,7 @@ def _settle(rows: tuple) -> Iterator[pa.RecordBatch]:
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        around = K.binary_rows(batch.column(1), np.uint8, 2 * SIDE + 2)
+        around = K.binary_rows(batch.column(1), np.uint16, 2 * SIDE + 2)
         run = batch.column(0).to_numpy().view(K.U)
         for left in range(SIDE + 1):
             ok = (around[:, 2 * SIDE] >= left) & (around[:, 2 * SIDE + 1] >= SIDE - left)
@@ -175,7 +175,7 @@ def repeated_spans(docs: DataFrame, scratch: Scratch) -> DataFrame:
     def bridge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             c = {name: batch.column(k) for k, name in enumerate(batch.schema.names)}
-            a, b = (K.binary_rows(c[f"around_{x}"], np.uint8, 2 * SIDE + 2) for x in "ab")
+            a, b = (K.binary_rows(c[f"around_{x}"], np.uint16, 2 * SIDE + 2) for x in "ab")
             left, right = _agree(a, b)
             good = left + RUN + right >= LEAST
             for x in "ab":
