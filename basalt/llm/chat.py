@@ -6,8 +6,8 @@ and at features of the line (question mark, code fence, list item, address to th
 transitions prefer that user and assistant alternate, that a system turn comes first, and that lines
 without marker go on with the turn. The most probable path gives turns, rendered canonically.
 
-Transcripts come in pieces, so that a very long one is not decoded in one task: each piece first gives
-its max-plus transfer matrix (6 by 6), the matrices of a transcript are chained, and each piece is then
+Transcripts come in pieces, so that a very long one is not decoded in one task: each piece of several
+first gives its max-plus transfer matrix (6 by 6), the matrices of a transcript are chained, and each piece is then
 decoded between the states it is entered and left in: the path of the whole transcript.
 
 Defined results: a null text is empty; blank lines go on with a turn, and a transcript without any
@@ -20,6 +20,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -35,6 +37,7 @@ NAMES = {"system": ("system", "sys", "instruction", "instructions"), "user": ("u
 ROLE_OF = {name: r for r, role in enumerate(ROLES) for name in NAMES[role]}
 _NAME = "|".join(sorted(ROLE_OF, key=len, reverse=True))
 MARKER = re.compile(rf"\s*(?:(?:[#*>\-]+\s*)?[*_]{{0,2}}({_NAME})[*_]{{0,2}}\s*[:>]\s?[*_]{{0,2}}|[#]{{2,}}\s*({_NAME})\s*$|\[({_NAME})\]:?\s?|<\|(?:im_start\|>)?({_NAME})(?:\|>)?\s?)", re.IGNORECASE)
+LISTED = re.compile(r"\s*(?:[-*]|[0-9]+\.)\s")
 STATES = 6  # role * 2 + (0: begins a turn, 1: goes on)
 
 
@@ -54,22 +57,27 @@ def _logs() -> tuple[np.ndarray, np.ndarray]:
 START, STEP = _logs()
 
 
-def emissions(line: str) -> tuple[np.ndarray, int]:
-    """(log-likelihood by state, characters of the marker)."""
-    m = MARKER.match(line)
-    told = next((ROLE_OF[g.lower()] for g in m.groups() if g), None) if m else None
+@lru_cache(maxsize=256)
+def _likelihood(told: int | None, asks: bool, code: bool, long: bool, instructs: bool, blank: bool) -> np.ndarray:
+    """Log-likelihood of a line's features in each state."""
     out = np.empty(STATES)
-    text = line[m.end() :] if m else line
-    asks = text.rstrip().endswith("?")
-    code = text.startswith(("    ", "```")) or bool(re.match(r"\s*(?:[-*]|[0-9]+\.)\s", text))
-    role = np.log([0.2 + 0.1 * text.lower().startswith("you are"), 0.5 if asks else 0.35, 0.3 if asks else 0.45 + 0.1 * code + 0.05 * (len(text) > 400)])
+    role = np.log([0.2 + 0.1 * instructs, 0.5 if asks else 0.35, 0.3 if asks else 0.45 + 0.1 * code + 0.05 * long])
     for r in range(3):
         mark = (0.97 if told == r else 0.01) if told is not None else 0.03
         out[2 * r] = np.log(mark) + role[r]
         out[2 * r + 1] = np.log(0.002 if told is not None else 0.97) + role[r]
-    if not line.strip():
+    if blank:
         out[[0, 2, 4]] = -50.0
-    return out, m.end() if m else 0
+    return out
+
+
+def emissions(line: str) -> tuple[np.ndarray, int]:
+    """(log-likelihood by state, characters of the marker)."""
+    m = MARKER.match(line)
+    told = next((ROLE_OF[g.lower()] for g in m.groups() if g), None) if m else None
+    text = line[m.end() :] if m else line
+    code = text.startswith(("    ", "```")) or LISTED.match(text) is not None
+    return _likelihood(told, text.rstrip().endswith("?"), code, len(text) > 400, text[:7].lower() == "you are", not line.strip()), m.end() if m else 0
 
 
 def transfer(lines: list[np.ndarray]) -> np.ndarray:
@@ -132,15 +140,21 @@ def _piece(rows: list[tuple]) -> list[str]:
     return "\n".join(r[-1] or "" for r in rows).split("\n")
 
 
+def _batches(rows: Iterator[tuple], schema: pa.Schema, size: int = 2000) -> Iterator[pa.RecordBatch]:
+    while held := list(islice(rows, size)):
+        yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+
+
 def _matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for (conv, piece), rows in _groups(batches):
-        seen = [emissions(x)[0] for x in _piece(rows)]
-        head = np.full(STATES, -np.inf)
-        v = START + seen[0]
-        for e in seen[1:]:
-            v = (v[:, None] + STEP).max(0) + e
-        head = v
-        yield pa.record_batch([pa.array([conv], pa.int64()), pa.array([piece], pa.int64()), pa.array([transfer(seen).tobytes()]), pa.array([head.tobytes()])], names=["conv_id", "piece", "matrix", "head"])
+    def rows() -> Iterator[tuple]:
+        for (conv, piece), own in _groups(batches):
+            seen = [emissions(x)[0] for x in _piece(own)]
+            head = START + seen[0]
+            for e in seen[1:]:
+                head = (head[:, None] + STEP).max(0) + e
+            yield conv, piece, transfer(seen).tobytes(), head.tobytes()
+
+    yield from _batches(rows(), pa.schema([("conv_id", pa.int64()), ("piece", pa.int64()), ("matrix", pa.binary()), ("head", pa.binary())]))
 
 
 def _chain(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -156,19 +170,23 @@ def _chain(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["conv_id", "piece", "at", "begins", "role", "content"]
-    for (conv, piece), rows in _groups(batches):
-        lines = _piece(rows)
-        seen = [emissions(x) for x in lines]
-        path = decode([e for e, _ in seen], np.frombuffer(rows[0][2]), rows[0][3])
-        out: list[list] = []
-        for line, (_, cut), s in zip(lines, seen, path, strict=True):
-            if s % 2 == 0 or not out:
-                out.append([s % 2 == 0, ROLES[s // 2], [line[cut:] if s % 2 == 0 else line]])
-            else:
-                out[-1][2].append(line)
-        n = len(out)
-        yield pa.record_batch([pa.array([conv] * n, pa.int64()), pa.array([piece] * n, pa.int64()), pa.array(range(n), pa.int64()), pa.array([x[0] for x in out]), pa.array([x[1] for x in out]), pa.array(["\n".join(x[2]) for x in out])], names=names)
+    def rows() -> Iterator[tuple]:
+        for (conv, piece), own in _groups(batches):
+            lines = _piece(own)
+            seen = [emissions(x) for x in lines]
+            alone = own[0][2] is None
+            path = decode([e for e, _ in seen], np.full(STATES, -np.inf) if alone else np.frombuffer(own[0][2]), None if alone else own[0][3])
+            out: list[list] = []
+            for line, (_, cut), s in zip(lines, seen, path, strict=True):
+                if s % 2 == 0 or not out:
+                    out.append([s % 2 == 0, ROLES[s // 2], [line[cut:] if s % 2 == 0 else line]])
+                else:
+                    out[-1][2].append(line)
+            for at, (begins, role, content) in enumerate(out):
+                yield conv, piece, at, begins, role, "\n".join(content)
+
+    kinds = [("conv_id", pa.int64()), ("piece", pa.int64()), ("at", pa.int64()), ("begins", pa.bool_()), ("role", pa.string()), ("content", pa.string())]
+    yield from _batches(rows(), pa.schema(kinds))
 
 
 def format_turns(pieces: DataFrame, scratch: Scratch, piece_turns: int = 256) -> DataFrame:
@@ -179,12 +197,14 @@ def format_turns(pieces: DataFrame, scratch: Scratch, piece_turns: int = 256) ->
     far = F.lit(1 << 62)
     rows = plain(pieces, conv_id="long", ord="long", text="string")
     rows = rows.select("conv_id", F.coalesce(F.floor(F.col("ord") / piece_turns), far).cast("long").alias("piece"), F.coalesce("ord", far).alias("ord"), F.coalesce("text", F.lit("")).alias("text"))
-    placed = scratch.table(rows.repartition("conv_id", "piece").sortWithinPartitions("conv_id", "piece", "ord", "text"), "pieces")
-    dealt = placed.repartition("conv_id", "piece").sortWithinPartitions("conv_id", "piece", "ord", "text").select("conv_id", "piece", "text")
-    matrices = dealt.mapInArrow(_matrices, "conv_id long, piece long, matrix binary, head binary")
+    placed = scratch.table(rows, "pieces")
+    several = placed.select("conv_id", "piece").distinct().groupBy("conv_id").count().where("count > 1").select(F.col("conv_id").alias("c"))
+    chained = placed.join(several, placed["conv_id"].eqNullSafe(several["c"]), "left_semi")
+    chained = chained.repartition("conv_id", "piece").sortWithinPartitions("conv_id", "piece", "ord", "text").select("conv_id", "piece", "text")
+    matrices = chained.mapInArrow(_matrices, "conv_id long, piece long, matrix binary, head binary")
     states = scratch.table(matrices.groupBy("conv_id").applyInPandas(_chain, "conv_id long, piece long, entry binary, leave int"), "states")
     same = placed["conv_id"].eqNullSafe(states["conv_id"]) & (placed["piece"] == states["piece"])
-    full = placed.join(states, same).select(placed["conv_id"], placed["piece"], "entry", "leave", "ord", "text")
+    full = placed.join(states, same, "left").select(placed["conv_id"], placed["piece"], "entry", "leave", "ord", "text")
     full = full.repartition("conv_id", "piece").sortWithinPartitions("conv_id", "piece", "ord", "text").drop("ord")
     found = full.mapInArrow(_decoded, "conv_id long, piece long, at long, begins boolean, role string, content string")
     found = scratch.table(found, "decoded")
