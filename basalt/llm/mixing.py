@@ -123,7 +123,9 @@ def mix(docs: DataFrame, scratch: Scratch, seed: int = 17, weights: tuple[float,
     plan = scratch.table(plan, "plan")
 
     split = plan.where("extra > 0 and extra < n").withColumn("buckets", F.when(F.col("n") > 64, F.ceil(F.sqrt("n"))).otherwise(1).cast("long"))
-    held = rows.join(split.select("src", "size", "whole", "extra", "buckets").hint("merge"), ["src", "size"]).withColumn("bucket", F.pmod(F.xxhash64(F.lit(1), "h"), F.col("buckets")))
+    held = rows.join(split.select("src", "size", "whole", "extra", "buckets").hint("merge"), ["src", "size"])
+    held = held.withColumn("bucket", F.pmod(F.xxhash64(F.lit(1), "h"), F.col("buckets"))).drop("buckets")
+    held = held.repartition("src", "size", "bucket")  # else all buckets of a group would stay in its task
     of_bucket = held.groupBy("src", "size", "bucket", "extra").agg(F.count("*").alias("m"))
     before = F.coalesce(F.expr("sum(m) over (partition by src, size order by bucket rows between unbounded preceding and 1 preceding)"), F.lit(0))
     quota = of_bucket.withColumn("quota", F.least(F.greatest(F.col("extra") - before, F.lit(0)), "m")).select("src", "size", "bucket", "m", "quota")
