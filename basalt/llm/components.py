@@ -20,13 +20,13 @@ def components(edges: DataFrame, scratch: Scratch, most: int = 60) -> DataFrame:
     before = None
     for step in range(1, most + 1):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = scratch.table(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("x"), F.least("u", "m").alias("m")), f"cc-least-{step}")
+        least = scratch.table(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("x"), F.least("u", "m").alias("m")), f"cc-least-{step}", tidy=False)
         large = both.join(least, F.col("u") == F.col("x")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.where("u <> v").distinct()
-        down = scratch.table(large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), f"cc-down-{step}")
-        low = scratch.table(down.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("x"), "m"), f"cc-low-{step}")
+        down = scratch.table(large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), f"cc-down-{step}", tidy=False)
+        low = scratch.table(down.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("x"), "m"), f"cc-low-{step}", tidy=False)
         small = down.join(low, F.col("u") == F.col("x")).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        then = scratch.table(small.where("u <> v").distinct(), f"cc-{step}")
+        then = scratch.table(small.where("u <> v").distinct(), f"cc-{step}", tidy=False)
         mark = then.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         scratch.drop(f"cc-{step - 1}", f"cc-least-{step}", f"cc-down-{step}", f"cc-low-{step}")
         now = then

@@ -27,9 +27,12 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_folder(spark)}/basalt-{uuid.uuid4().hex}"
 
-    def table(self, df: DataFrame, name: str) -> DataFrame:
+    def table(self, df: DataFrame, name: str, tidy: bool = True) -> DataFrame:
+        """Write and read again. tidy: let Spark delete the shuffle files behind the table now, not when the driver's heap fills."""
         path = f"{self.root}/{name}"
         df.write.mode("overwrite").parquet(path)
+        if tidy:
+            self.spark.sparkContext._jvm.System.gc()
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
