@@ -1,21 +1,21 @@
 """Repeated passages by a sparse suffix array over all documents.
 
 Words are runs without ASCII blanks, A-Z lowered. Of every 25 consecutive 26-word runs of a document
-the one with the least hash is a minimiser; a passage of 50 words holds at least one whole window, so
-copies of it select the same run wherever they stand. Only the suffixes that start there are kept: about
-one in thirteen. They are range-partitioned and sorted by their first 26 words (as one hash), then by
-the words after and before; each is compared with its nearest neighbours of other documents on both
-sides, and the match is extended left and right, 24 words each way. Since minimisers are at most 25
-words apart, longer passages are covered by those along them.
-
-A suffix whose neighbours give less than 50 words although its 26 words are shared may still match a
-farther one better on the left. These few are settled exactly: two suffixes share 50 words if and only
-if, for some n up to 24, the n words before and the 24 - n words after agree, so they are grouped by
-these 25 keys.
-
-Neighbours in different partitions are compared through the partitions' first and last suffixes.
-Words around are compared by sixteen-bit codes: where a match ends, it is taken to go on with
-probability 1/65,536 a word.
+the one with the least hash is a minimiser; a passage of 50 words is such a window of runs, so it has
+one minimiser, and copies of it select the same run wherever they stand. Only the suffixes that start
+there are kept: about one in thirteen, each with the 24 words before and after its run and the passages
+it is the minimiser of. They are range-partitioned and sorted by their run (as one hash), then by the
+words after and before.
+
+Two passages of 50 words are equal if and only if their minimisers have the same run, stand n words
+after the passage's start for the same n, and the n words before and the 24 - n words after the run
+agree. So the suffixes of one run are grouped by these keys, one for each passage: all documents with
+the run are compared, not only neighbours. A run met in one document only needs no keys.
+
+A run that may go on in another partition, or has more suffixes than are held at once, is settled in
+parts: the parts' keys, at most two documents a shared key, are brought together by a shuffle.
+
+Words around are compared by sixteen-bit codes, 24 of them a passage beside the hash of its run.
 
 Defined results: only repeats across documents count; rows with the same doc_id (null being one id)
 are one document; null, empty and shorter texts have no spans; an empty table gives no rows.
@@ -27,7 +27,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,26 +38,27 @@ LEAST = RUN + SIDE
 NONE = -(1 << 63)
 
 
-def minimisers(w: K.Words) -> tuple[np.ndarray, np.ndarray]:
-    """(place, hash) of the runs that are least in some window of 25 runs inside a document."""
+def minimisers(w: K.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(place, hash) of the runs that are least in some window of 25 runs inside a document, and the first and last such window."""
     n = len(w.hashes) - RUN + 1
     if n < SIDE + 1:
-        return np.zeros(0, np.int64), np.zeros(0, K.U)
+        return np.zeros(0, np.int64), np.zeros(0, K.U), np.zeros(0, np.int64), np.zeros(0, np.int64)
     power, inverse = K._powers(len(w.hashes))
     part = np.zeros(len(w.hashes) + 1, K.U)
     np.cumsum(w.hashes * power[: len(w.hashes)], out=part[1:])
     g = K.mix((part[RUN:] - part[:-RUN]) * inverse[:n], 41)
     whole = K.inside(w.first, LEAST)
     least = np.lib.stride_tricks.sliding_window_view(g, SIDE + 1)
-    at = np.unique((np.arange(len(least)) + least.argmin(1))[whole[: len(least)]])
-    return at, g[at]
+    window = np.flatnonzero(whole[: len(least)])
+    at, first, count = np.unique(window + least.argmin(1)[window], return_index=True, return_counts=True)
+    return at, g[at], window[first], window[first + count - 1]
 
 
 def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i, j, buf, offsets in K.text_chunks(batch.column(1)):
             w = K.words(buf, offsets)
-            at, run = minimisers(w)
+            at, run, lowest, highest = minimisers(w)
             if not len(at):
                 continue
             doc = np.searchsorted(w.first, at, "right") - 1
@@ -70,125 +70,105 @@ def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             steps = np.arange(SIDE)
             after = codes[at[:, None] + RUN + SIDE + steps] * (steps < right[:, None])
             before = codes[at[:, None] + SIDE - 1 - steps] * (steps < left[:, None])
-            around = np.concatenate([after, before, left[:, None], right[:, None]], axis=1).astype(np.uint16)
+            around = np.concatenate([after, before, (at - highest)[:, None], (at - lowest)[:, None]], axis=1).astype(np.uint16)
             ids = batch.column(0).slice(i, j - i).take(pa.array(doc))
             yield pa.record_batch([K.signed(run), K.keys_to_arrow(around), ids, pa.array(place)], names=["run", "around", "doc_id", "place"])
 
 
-def _agree(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Words that agree before and after the runs of paired suffixes."""
-    out = []
-    for half, size in ((slice(SIDE, 2 * SIDE), 2 * SIDE), (slice(0, SIDE), 2 * SIDE + 1)):
-        differ = np.concatenate([a[:, half] != b[:, half], np.ones((len(a), 1), bool)], axis=1)
-        out.append(np.minimum(differ.argmax(1), np.minimum(a[:, size], b[:, size]).astype(np.int64)))
-    return out[0], out[1]
-
-
-NAMES = ["kind", "doc_id", "start", "stop", "run", "around", "part", "place"]
-SCHEMA = "kind string, doc_id long, start long, stop long, run long, around binary, part int, place long"
+SCHEMA = "kind string, key long, doc_id long, start long, stop long"
 
 
-def _rows(kind: str, doc: np.ndarray, start, stop, run, around, place, part: int | None = None) -> pa.RecordBatch:
+def _rows(kind: str, key: np.ndarray | None, doc: np.ndarray, start: np.ndarray, stop: np.ndarray) -> pa.RecordBatch:
     n = len(doc)
-    ids = pa.array(doc, mask=doc == NONE)
-    full = lambda x, t: pa.nulls(n, t) if x is None else pa.array(x, t)
-    return pa.record_batch([pa.array([kind] * n, pa.string()), ids, full(start, pa.int64()), full(stop, pa.int64()), full(run, pa.int64()), pa.nulls(n, pa.binary()) if around is None else K.keys_to_arrow(around), full(None if part is None else [part] * n, pa.int32()), full(place, pa.int64())], names=NAMES)
+    keys = pa.nulls(n, pa.int64()) if key is None else K.signed(key)
+    return pa.record_batch([pa.array([kind] * n, pa.string()), keys, pa.array(doc, mask=doc == NONE), pa.array(start), pa.array(stop)], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
 
-def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over sorted suffixes: spans found ("span"), what the neighbours don't settle ("open"), first and last suffixes ("first", "last")."""
-    part, tail, begun = TaskContext.get().partitionId(), None, False
+def _shared(batches: Iterator[pa.RecordBatch], held: int = 50_000) -> Iterator[pa.RecordBatch]:
+    """Over sorted suffixes: passages that other documents hold ("span"), and keys of runs that are not seen whole ("key")."""
+    tail: tuple | None = None
+    parted: set[int] = set()
     for batch in batches:
         now = (batch.column(0).to_numpy(), K.binary_rows(batch.column(1), np.uint16, 2 * SIDE + 2), batch.column(2).fill_null(NONE).to_numpy(), batch.column(3).to_numpy())
+        if not len(now[0]):
+            continue
+        if tail is None:
+            parted.add(int(now[0][0]))
         rows = now if tail is None else tuple(np.concatenate([t, x]) for t, x in zip(tail, now, strict=True))
-        if not begun:
-            begun = True
-            yield _rows("first", rows[2][:1], None, None, rows[0][:1], rows[1][:1], rows[3][:1], part)
-        # The last group is kept whole until its end is seen, up to a bound; then only what its next row needs.
+        # The last run is kept until its end is seen, up to a bound.
         cut = int(np.searchsorted(rows[0], rows[0][-1]))
-        if len(rows[0]) - cut > 100_000:
-            cut = len(rows[0]) - 1
-            while cut and rows[2][cut - 1] == rows[2][-1] and rows[0][cut - 1] == rows[0][-1] and len(rows[0]) - cut < 50_000:
-                cut -= 1
-            cut = max(1, cut - 1)
-            yield from _settle(rows)
-            tail = tuple(x[cut:] for x in rows)
-            continue
+        if len(rows[0]) - cut > held:
+            cut = len(rows[0])
+            parted.add(int(rows[0][-1]))
         if cut:
-            yield from _settle(tuple(x[:cut] for x in rows))
+            yield from _settle(tuple(x[:cut] for x in rows), parted)
         tail = tuple(x[cut:] for x in rows)
     if tail is not None and len(tail[0]):
-        yield from _settle(tail)
-        yield _rows("last", tail[2][-1:], None, None, tail[0][-1:], tail[1][-1:], tail[3][-1:], part)
-
-
-def _settle(rows: tuple) -> Iterator[pa.RecordBatch]:
+        yield from _settle(tail, parted | {int(tail[0][-1])})
+
+
+def _keys(run: np.ndarray, around: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, row, words before the run) of every passage that the suffixes are minimisers of."""
+    sides = []
+    for k in (0, 1):
+        codes = around[:, k * SIDE : (k + 1) * SIDE].astype(K.U) + (np.arange(1, SIDE + 1).astype(K.U) << K.U(16))
+        sums = np.zeros((len(run), SIDE + 1), K.U)
+        np.cumsum(K.mix(codes, 50 + k), axis=1, out=sums[:, 1:])
+        sides.append(sums)
+    key, row, before = [], [], []
+    for n in range(SIDE + 1):
+        ok = np.flatnonzero((around[:, 2 * SIDE] <= n) & (n <= around[:, 2 * SIDE + 1]))
+        key.append(K.mix(K.mix(run[ok].view(K.U), 60 + n) ^ K.mix(sides[0][ok, SIDE - n] + sides[1][ok, n], 52), 53))
+        row.append(ok)
+        before.append(np.full(len(ok), n))
+    return np.concatenate(key), np.concatenate(row), np.concatenate(before)
+
+
+def _settle(rows: tuple, parted: set[int]) -> Iterator[pa.RecordBatch]:
     run, around, doc, place = rows
-    n = len(run)
-    index = np.arange(n)
-    fresh = np.concatenate([[True], (run[1:] != run[:-1]) | (doc[1:] != doc[:-1])])
-    begin = np.maximum.accumulate(np.where(fresh, index, 0))
-    last = np.concatenate([fresh[1:], [True]])
-    end = np.minimum.accumulate(np.where(last, index, n)[::-1])[::-1]
-    got, shared = np.zeros(n, bool), np.zeros(n, bool)
-    for other in (begin - 1, end + 1):
-        ok = (other >= 0) & (other < n)
-        ok[ok] = run[other[ok]] == run[ok]
-        i, o = index[ok], other[ok]
-        shared[i] = True
-        left, right = _agree(around[i], around[o])
-        good = left + RUN + right >= LEAST
-        got[i[good]] = True
-        if good.any():
-            i, left, right = i[good], left[good], right[good]
-            yield _rows("span", doc[i], place[i] - left, place[i] + RUN + right, None, None, None)
-    edge = (run == run[0]) | (run == run[-1])
-    open_ = ~got & (shared | edge)
-    if open_.any():
-        yield _rows("open", doc[open_], None, None, run[open_], around[open_], place[open_])
-
-
-def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        around = K.binary_rows(batch.column(1), np.uint16, 2 * SIDE + 2)
-        run = batch.column(0).to_numpy().view(K.U)
-        for left in range(SIDE + 1):
-            ok = (around[:, 2 * SIDE] >= left) & (around[:, 2 * SIDE + 1] >= SIDE - left)
-            key = K.mix(run[ok], 50 + left)
-            for c in [*range(SIDE, SIDE + left), *range(SIDE - left)]:
-                key = K.mix(key ^ (around[ok, c].astype(K.U) + K.U(1)))
-            place = batch.column(3).filter(pa.array(ok))
-            yield pa.record_batch([K.signed(key), batch.column(2).filter(pa.array(ok)), pa.array(place.to_numpy() - left)], names=["key", "doc_id", "start"])
+    edge = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
+    size = np.diff(np.append(edge, len(run)))
+    partly = np.isin(run, np.fromiter(parted, np.int64, len(parted)))
+    use = np.flatnonzero(partly | np.repeat(np.minimum.reduceat(doc, edge) != np.maximum.reduceat(doc, edge), size))
+    if not len(use):
+        return
+    key, row, before = _keys(run[use], around[use])
+    row = use[row]
+    order = np.lexsort((doc[row], key))
+    key, row, before = key[order], row[order], before[order]
+    first = np.concatenate([[True], key[1:] != key[:-1]])
+    group = np.cumsum(first) - 1
+    last = np.concatenate([first[1:], [True]])
+    own = doc[row]
+    shared = (own[first] != own[last])[group]
+
+    sent = partly[row] & (~shared | first | last)
+    if sent.any():
+        start = place[row[sent]] - before[sent]
+        yield _rows("key", key[sent], own[sent], start, start + LEAST)
+    if shared.any():
+        # Passages of a suffix that start one after another make one span.
+        row, before = row[shared], before[shared]
+        order = np.lexsort((before, row))
+        row, before = row[order], before[order]
+        fresh = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (before[1:] != before[:-1] + 1)]))
+        end = np.append(fresh[1:], len(row)) - 1
+        at = place[row[fresh]]
+        yield _rows("span", None, doc[row[fresh]], at - before[end], at - before[fresh] + LEAST)
 
 
 def repeated_spans(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """doc_id, start_word, n_words: the stretches of 50 words or more that other documents hold too, merged."""
     suffixes = plain(docs, doc_id="long", text="string").mapInArrow(_suffixes, "run long, around binary, doc_id long, place long")
     order = ["run", "around", "doc_id", "place"]
-    found = suffixes.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_neighbours, SCHEMA)
+    found = suffixes.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_shared, SCHEMA)
     found = scratch.table(found, "found")
 
-    ends = found.where("kind = 'last'").select((F.col("part") + 1).alias("part"), F.col("run").alias("run_a"), F.col("around").alias("around_a"), F.col("doc_id").alias("doc_a"), F.col("place").alias("place_a"))
-    starts = found.where("kind = 'first'").select("part", F.col("run").alias("run_b"), F.col("around").alias("around_b"), F.col("doc_id").alias("doc_b"), F.col("place").alias("place_b"))
-    across = ends.join(starts, "part").where("run_a = run_b and not doc_a <=> doc_b").drop("part", "run_b")
-
-    def bridge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            c = {name: batch.column(k) for k, name in enumerate(batch.schema.names)}
-            a, b = (K.binary_rows(c[f"around_{x}"], np.uint16, 2 * SIDE + 2) for x in "ab")
-            left, right = _agree(a, b)
-            good = left + RUN + right >= LEAST
-            for x in "ab":
-                at = c[f"place_{x}"].to_numpy()
-                yield _rows("span", c[f"doc_{x}"].fill_null(NONE).to_numpy()[good], (at - left)[good], (at + RUN + right)[good], None, None, None)
-
-    bridged = across.mapInArrow(bridge, SCHEMA).select("doc_id", "start", "stop")
-    keys = found.where("kind = 'open'").select("run", "around", "doc_id", "place").mapInArrow(_keys, "key long, doc_id long, start long")
-    keys = scratch.table(keys.distinct(), "keys")
+    keys = found.where("kind = 'key'")
     ids = F.coalesce("doc_id", F.lit(NONE))
     shared = keys.groupBy("key").agg(F.min(ids).alias("low"), F.max(ids).alias("high")).where("low <> high").select("key")
-    settled = keys.join(shared, "key").select("doc_id", "start", (F.col("start") + LEAST).alias("stop"))
-    spans = found.where("kind = 'span'").select("doc_id", "start", "stop").unionByName(bridged).unionByName(settled).distinct()
+    settled = keys.join(shared, "key").select("doc_id", "start", "stop")
+    spans = found.where("kind = 'span'").select("doc_id", "start", "stop").unionByName(settled).distinct()
 
     by_doc = Window.partitionBy("doc_id").orderBy("start", "stop")
     before = F.max("stop").over(by_doc.rowsBetween(Window.unboundedPreceding, -1))

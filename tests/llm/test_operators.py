@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -242,6 +243,55 @@ def test_repeated_passages(spark, scratch):
     assert suffixes.repeated_spans(empty(spark), scratch).count() == 0
 
 
+def marks(out, sizes):
+    got = {i: [False] * n for i, n in sizes.items()}
+    for i, start, n in out:
+        got[i][start : start + n] = [True] * n
+    return got
+
+
+def test_repeated_passages_of_farther_copies(spark, scratch):
+    rng = np.random.default_rng(17)
+    texts = {}
+    for k in range(60):
+        left, run, right = (passage(5000 + 10 * k + j, n).split() for j, n in enumerate((24, 26, 24)))
+        cut = int(rng.integers(1, 24))
+        other = lambda j, n: passage(5005 + 10 * k + j, n).split()  # noqa: E731, B023
+        texts[10 * k] = left + run + right
+        texts[10 * k + 1] = other(0, 8) + left[cut:] + run + right + other(1, 8)
+        texts[10 * k + 2] = left + run + right[: 24 - cut] + other(2, 8)
+        texts[10 * k + 3] = other(3, 8) + left + run + right[: 24 - cut] + other(4, 8)
+    base = passage(7000, 400).split()
+    for k in range(60):
+        copy = [f"w{rng.integers(1 << 30)}" if rng.random() < 0.03 else w for w in base]
+        texts[1000 + k] = copy
+    texts = {i: " ".join(w) for i, w in texts.items()}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    out = [tuple(r) for r in suffixes.repeated_spans(df, scratch).collect()]
+    assert marks(out, {i: len(words(t)) for i, t in texts.items()}) == repeated(texts)
+
+
+def test_repeated_passages_of_parted_runs():
+    base = passage(7100, 120).split()
+    rng = np.random.default_rng(5)
+    texts = {i: " ".join(f"w{rng.integers(1 << 30)}" if rng.random() < 0.02 else w for w in base) for i in range(40)}
+    texts[7] = f"{texts[7]} {texts[7]}"
+    batch = pa.record_batch([pa.array(list(texts)), pa.array(list(texts.values()))], names=["doc_id", "text"])
+    table = pa.Table.from_batches(suffixes._suffixes([batch])).sort_by([(c, "ascending") for c in ("run", "around", "doc_id", "place")])
+    for held, parts in ((50_000, 1), (5, 1), (50_000, 7), (3, 5)):
+        found = []
+        for p in range(parts):
+            x, y = len(table) * p // parts, len(table) * (p + 1) // parts
+            for b in suffixes._shared(table.slice(x, y - x).combine_chunks().to_batches(max_chunksize=4), held):
+                found += b.to_pylist()
+        by_key = {}
+        for r in found:
+            if r["kind"] == "key":
+                by_key.setdefault(r["key"], set()).add(r["doc_id"])
+        out = [(r["doc_id"], r["start"], r["stop"] - r["start"]) for r in found if r["kind"] == "span" or len(by_key[r["key"]]) > 1]
+        assert marks(out, {i: len(words(t)) for i, t in texts.items()}) == repeated(texts), (held, parts)
+
+
 # --- 7 -------------------------------------------------------------------------------------------
 
 
