@@ -6,7 +6,9 @@ tokens of a 13-token window are substituted, one of the masks still hits it. Equ
 diagonal (document place minus item place), and the tokens around the hit are compared on it.
 
 A document matches an item where 13 tokens in a row (the whole item, if shorter) agree with at least
-80%: 11 of 13. Items under nine tokens, the span of the longer mask, match whole and unchanged.
+80%: 11 of 13. Items under nine tokens, the span of the longer mask, match whole and unchanged. For items
+of 9 to 12 tokens the two masks leave some of the substitutions allowed without a hit; each such length has
+masks more, at fixed places of the whole item, that hit in these cases.
 
 The benchmark is hashed in blocks of at most ``block_bytes`` of text, so what is broadcast has a fixed
 bound; documents are scanned once a block, and are never shuffled.
@@ -18,7 +20,8 @@ are; repeated documents or items each give rows; empty tables give no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
+from functools import cache, reduce
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -42,14 +45,35 @@ def _masked(hashes: np.ndarray, mask: tuple[int, ...], seed: int) -> np.ndarray:
     return K.mix(out, seed)
 
 
-def _seeds(w: K.Words, lengths: list[int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(hashes, places) of every mask and of every short whole-item length."""
+def needed(n: int) -> int:
+    """Equal tokens that a window of n must have."""
+    return n if n < SPAN else int(np.ceil(SHARE * n - 1e-9))
+
+
+@cache
+def whole_masks(n: int) -> tuple[tuple[int, ...], ...]:
+    """Masks over an item of n tokens, fewer than WINDOW, for the substitutions that MASKS miss."""
+    if n < SPAN:
+        return (tuple(range(n)),)
+    slid = [{p + o for o in mask} for mask in MASKS for p in range(n - mask[-1])]
+    missed = [set(bad) for bad in combinations(range(n), n - needed(n)) if all(m & set(bad) for m in slid)]
+    out: list[tuple[int, ...]] = []
+    while missed:
+        out.append(max(combinations(range(n), len(MASKS[0])), key=lambda m: sum(not set(m) & bad for bad in missed)))
+        missed = [bad for bad in missed if set(out[-1]) & bad]
+    return tuple(out)
+
+
+def _seeds(w: K.Words, lengths: list[int]) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """(hashes, places, whole-item length or 0) of every mask and of every mask of a short length."""
     for s, mask in enumerate(MASKS):
         h, ok = _masked(w.hashes, mask, 100 + s), K.inside(w.first, mask[-1] + 1)
-        yield h[ok], np.flatnonzero(ok)
+        yield h[ok], np.flatnonzero(ok), 0
     for n in lengths:
-        h, ok = K.grams(w.hashes, n, 200), K.inside(w.first, n)
-        yield h[ok], np.flatnonzero(ok)
+        ok = K.inside(w.first, n)
+        for s, mask in enumerate(whole_masks(n)):
+            h = K.grams(w.hashes, n, 200) if n < SPAN else _masked(w.hashes, mask, 300 + 100 * n + s)[: len(ok)]
+            yield h[ok], np.flatnonzero(ok), n
 
 
 class Seeds:
@@ -62,13 +86,13 @@ class Seeds:
         self.tokens = parts[0].hashes if parts else np.zeros(0, K.U)
         self.first = parts[0].first if parts else np.zeros(1, np.int64)
         size = np.diff(self.first)
-        self.short = sorted({int(n) for n in size if 0 < n < SPAN})
+        self.short = sorted({int(n) for n in size if 0 < n < WINDOW})
         hashes, places = [np.zeros(0, K.U)], [np.zeros(0, np.int64)]
         item = np.repeat(np.arange(len(size)), size)
         if len(self.tokens):
-            for k, (h, p) in enumerate(_seeds(K.Words(self.tokens, self.tokens, self.tokens, self.first), self.short)):
-                if k >= len(MASKS):
-                    whole = size[item[p]] == self.short[k - len(MASKS)]
+            for h, p, n in _seeds(K.Words(self.tokens, self.tokens, self.tokens, self.first), self.short):
+                if n:
+                    whole = size[item[p]] == n
                     h, p = h[whole], p[whole]
                 hashes.append(h)
                 places.append(p)
@@ -85,7 +109,7 @@ class Seeds:
     def hits(self, w: K.Words, table: np.ndarray) -> set[tuple[int, int, int]]:
         """(document, item, diagonal) of every seed shared with the chunk."""
         found: set[tuple[int, int, int]] = set()
-        for h, p in _seeds(w, self.short):
+        for h, p, _ in _seeds(w, self.short):
             maybe = np.flatnonzero(table[(h >> K.U(64 - self.bits)).astype(np.int64)])
             low = np.searchsorted(self.hashes, h[maybe], "left")
             high = np.searchsorted(self.hashes, h[maybe], "right")
@@ -109,8 +133,7 @@ class Seeds:
             return None
         same = self.tokens[lo:hi] == w.hashes[lo + diagonal : hi + diagonal]
         sums = np.concatenate([[0], np.cumsum(same)])
-        need = n if n < SPAN else int(np.ceil(SHARE * n - 1e-9))
-        good = np.flatnonzero(sums[n:] - sums[:-n] >= need)
+        good = np.flatnonzero(sums[n:] - sums[:-n] >= needed(n))
         if not len(good):
             return None
         covered = np.zeros(hi - lo, bool)

@@ -351,6 +351,19 @@ def test_masks_cover_two_substitutions_in_thirteen():
         assert any(not {p + o for o in mask} & set(bad) for mask in decontam.MASKS for p in range(decontam.WINDOW - mask[-1]))
 
 
+@pytest.mark.parametrize("n", range(9, 13))
+def test_short_items_with_every_substitution_allowed(n):
+    item = passage(40 + n, n).split()
+    seeds = decontam.Seeds([(1, " ".join(item)), (2, passage(60, 30))])
+    table = seeds.table()
+    for bad in itertools.combinations(range(n), n - decontam.needed(n)):
+        text = " ".join(["lead", *(f"x{p}" if p in bad else w for p, w in enumerate(item))])
+        for end in ("", " tail"):
+            _, _, buf, offsets = next(iter(decontam.K.text_chunks(pa.array([text + end]))))
+            w = decontam.K.words(buf, offsets, decontam.K.PUNCT)
+            assert any(seeds.verify(w, *hit) for hit in seeds.hits(w, table)), (bad, end)
+
+
 def test_decontamination(spark):
     items = {1: passage(21, 30), 2: passage(22, 13), 3: "Tiny item!", 4: None, 5: ""}
     swap = items[1].split()
