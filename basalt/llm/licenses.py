@@ -3,11 +3,13 @@
 DataFrame and SQL functions only. Words are runs of ASCII letters and digits, lowered; shingles are two
 words. For every length among the templates, windows of that many words overlap by seven eighths or
 more, so some window is aligned with a match to within a sixteenth of its length. A template is found
-where a window, widened by an eighth on both sides, contains ``share`` (0.8) of its shingles.
+where a window, widened by an eighth (one word at least) on both sides, contains ``share`` (0.8) of its
+shingles.
 
 Such a window and its template have a Jaccard similarity of 0.58 or more; 16 bands of one value then
 miss it with probability 1e-6, and unchanged copies of short templates (whose windows start at every
-word) never. Before windows are cut, texts and windows without any *anchor* are passed over, which loses
+word) never. In windows of 16 words or fewer a word more weighs too much for that, so their widened
+words have bands too: their similarity is 0.6 or more, 0.5 for three words (missed with 2e-5). Before windows are cut, texts and windows without any *anchor* are passed over, which loses
 nothing: anchors are words chosen so that, of each template, the shingles without one are fewer than a
 match must hold.
 
@@ -48,6 +50,7 @@ TEMPLATES = {
     "cc0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
 }
 BANDS, ROWS = 16, 1
+SHORT = 16
 
 
 def words_of(text: str) -> list[str]:
@@ -78,14 +81,18 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")
 
 
-def _shingles(words: Column) -> Column:
+def _pairs(words: Column) -> Column:
     def pairs(w: Column) -> Column:
         n = F.greatest(F.size(w) - 1, F.lit(0))
-        return F.array_distinct(F.zip_with(F.slice(w, 1, n), F.slice(w, 2, n), lambda a, b: F.concat_ws(" ", a, b)))
+        return F.zip_with(F.slice(w, 1, n), F.slice(w, 2, n), lambda a, b: F.concat_ws(" ", a, b))
 
     return _let(words, pairs)
 
 
+def _shingles(words: Column) -> Column:
+    return F.array_distinct(_pairs(words))
+
+
 def _let(value: Column, body) -> Column:
     """``body`` of a value that is computed once, however often it is used."""
     return F.element_at(F.transform(F.array(value), body), 1)
@@ -121,20 +128,25 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, share: float
     rows = rows.select("doc_id", "words", F.explode(kinds).alias("kind")).select("doc_id", "words", "kind.*")
     rows = rows.withColumn("places", F.filter(F.sequence(F.lit(1), F.size("words")), lambda i: F.array_contains("marks", F.element_at("words", i)))).where("size(words) > 1")
     step = F.greatest(F.lit(1), F.floor(F.col("length") / 8)).cast("int")
-    first = lambda p: F.greatest(F.lit(1), p - F.col("length") + 1)
-    starts = F.array_distinct(F.flatten(F.transform("places", lambda p: F.filter(F.sequence(first(p), p), lambda s: (s - 1) % step == 0))))
+    first = lambda p: F.greatest(F.lit(1), p - F.col("length") + 1 - step)
+    last = lambda p: F.least(F.size("words"), p + step)
+    starts = F.array_distinct(F.flatten(F.transform("places", lambda p: F.filter(F.sequence(first(p), last(p)), lambda s: (s - 1) % step == 0))))
     rows = rows.select("doc_id", "words", "length", F.explode_outer(starts).alias("start")).where("start is not null")
-    margin = F.when(F.col("length") > 16, step).otherwise(0)
-    begin = F.greatest(F.lit(1), F.col("start") - margin)
+    begin = F.greatest(F.lit(1), F.col("start") - step)
     windows = rows.select(
-        "doc_id", "length", "start",
+        "doc_id", "length", "start", begin.alias("begin"),
         _shingles(F.slice("words", F.col("start"), F.col("length"))).alias("shingles"),
-        _shingles(F.slice("words", begin, F.col("start") + F.col("length") + margin - begin)).alias("wide"),
+        _pairs(F.slice("words", begin, F.col("start") + F.col("length") + step - begin)).alias("wide"),
     ).where("size(shingles) > 0")
-    keyed = windows.withColumn("band", F.explode_outer(F.array_distinct(_bands(F.col("shingles")))))
+    bands = F.when(F.col("length") <= SHORT, F.concat(_bands(F.col("shingles")), _bands(F.col("wide")))).otherwise(_bands(F.col("shingles")))
+    keyed = windows.withColumn("band", F.explode_outer(F.array_distinct(bands)))
     found = keyed.join(F.broadcast(table), ["length", "band"])
     met = F.size(F.array_intersect("wanted", "wide"))
     found = found.withColumn("met", met).where("met >= needed")
+    # A short window that verifies only when widened stands where its first shingle does.
+    place = F.array_min(F.filter(F.transform("wanted", lambda w: F.array_position("wide", w)), lambda i: i > 0))
+    alone = (F.col("length") > SHORT) | (F.size(F.array_intersect("wanted", "shingles")) >= F.col("needed"))
+    found = found.withColumn("start", F.when(alone, F.col("start")).otherwise(F.col("begin") + place - 1))
     out = found.groupBy("doc_id", "license").agg(
         F.countDistinct("start").alias("n_matches"), (F.min("start") - 1).cast("long").alias("first_word"), F.max(F.col("met") / F.size("wanted")).alias("containment")
     )

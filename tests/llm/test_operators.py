@@ -176,6 +176,25 @@ def test_licenses(spark):
     assert licenses.scan(empty(spark)).count() == 0
 
 
+def test_short_notices_with_a_word_put_in(spark):
+    data, want = [], set()
+    for name, text in sorted(licenses.TEMPLATES.items()):
+        own = licenses.words_of(text)
+        least = licenses.needed(len(set(zip(own, own[1:], strict=False))), 0.8)
+        for p in range(1, len(own)) if len(own) <= 16 else ():
+            put = [*own[:p], "xyz", *own[p:]]
+            data.append((50 + len(data), " ".join(["one", "two", *put, "three", "four"])))
+            if len(set(zip(own, own[1:], strict=False)) & set(zip(put, put[1:], strict=False))) >= least:
+                want.add((data[-1][0], name))
+    data.append((1, "Licensed under the permissive Apache License, Version 2.0"))
+    data.append((2, "a b All rights reserved. c d"))
+    out = licenses.scan(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    got = {(r.doc_id, r.license) for r in out}
+    assert len(want) > 30 and want <= got and (1, "apache-2.0-notice") in got
+    assert [tuple(r) for r in out if r.doc_id == 2] == [(2, "all-rights-reserved", 1, 2, 1.0)]
+    assert [(r.first_word, r.containment) for r in out if r.doc_id == 1] == [(0, 6 / 7)]
+
+
 def test_anchors_lose_nothing():
     marks = set(licenses.anchors(licenses.TEMPLATES, 0.8))
     for text in licenses.TEMPLATES.values():
