@@ -145,6 +145,28 @@ def test_language_model(spark, scratch):
     assert lm.score(empty(spark), scratch).count() == 0
 
 
+def test_each_context_has_its_own_restaurant(spark, scratch):
+    text = " ".join(f"v{i}" for i in range(100_000))
+    df = spark.createDataFrame([(0, text), (1, "a b a c a b"), (None, "b a")], "doc_id long, text string")
+    batches = [pa.record_batch([pa.array([0]), pa.array([text])], names=["doc_id", "text"])]
+    _, _, buf, offsets = next(iter(lm.K.text_chunks(batches[0].column(1))))
+    assert len(np.unique(lm.tokens(lm.K.words(buf, offsets))[1])) == 100_001
+    hot, flags = np.zeros(0, lm.K.U), df.selectExpr("doc_id", "text", "false AS held")
+    model = flags.mapInArrow(lm._train(hot, 7), "bucket int, blob binary").groupBy("bucket").applyInPandas(lm._merge(7), lm.STATE)
+    history, state = lm.sample(scratch.table(model, "m"), hot, 7, scratch)
+    known, tables = {}, {}
+    for bucket, own in state.toPandas().groupby("bucket"):
+        seats = lm.Seats(bucket, own, hot, history)
+        for s in range(1, lm.SWEEPS + 1):
+            seats.sweep(s)
+        for c, n in zip(seats.seats.tolist(), seats.counts.tolist(), strict=True):
+            assert known.setdefault(c, n) == n
+        for x, n in zip(seats.seat.tolist(), seats.tables.tolist(), strict=True):
+            tables.setdefault(int(seats.seats[x]), [int(seats.around[lm.SWEEPS][x]), 0])[1] += n
+    assert sorted(known.values())[-4:] == [1, 3, 3, 4] and len(known) == 100_004
+    assert all(a == b for a, b in tables.values()) and len(tables) == len(known)
+
+
 def test_predictive_probabilities_sum_to_one():
     rng = np.random.default_rng(2)
     count = rng.integers(1, 40, 30)
