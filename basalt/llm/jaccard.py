@@ -8,10 +8,12 @@ are one *class*; classes are compared, copies never expanded.
    a signature of 128 MinHash values.
 2. 32 bands of 4 values give buckets. A pair of similarity 0.8 misses all of them with probability
    5e-8. Buckets with the same members are kept once.
-3. A bucket is cut into chunks, and pairs of chunks are blocks of bounded size, wherever its members
-   come from. In a block a pair is taken up only by the first band in which it agrees, so once.
+3. A bucket is one block. Only a bucket beyond ``BLOCK`` bytes (a member counts its text and ``EACH`` more)
+   is cut into chunks of that size, and pairs of chunks are its blocks, so no task holds more than two
+   chunks. In a block a pair is taken up only by the first band in which it agrees, so once.
 4. In blocks of 16 MinHash values, a pair goes as soon as the posterior probability (uniform prior)
-   that its similarity reaches the threshold is below ``tolerance``. The rest are verified exactly.
+   that its similarity reaches the threshold is below ``tolerance``. The rest are verified exactly, by
+   what they differ in from the shingles that most of the block has.
 5. A block returns, for each linked class, the number of documents it is linked to and the least
    class it reaches there: never pairs. Components join these.
 
@@ -39,7 +41,7 @@ from .scratch import Scratch, plain
 
 BANDS, ROWS, STEP = 32, 4, 16
 VALUES = BANDS * ROWS
-MEMBERS = 128
+BLOCK, EACH = 8 << 20, 2048
 
 
 @lru_cache(maxsize=1)
@@ -80,7 +82,8 @@ def least_matches(threshold: float, tolerance: float) -> list[int]:
 
 
 def _read(shingle: int):
-    kept = "doc_id long, cls binary, task int, n long, sig binary, z binary"
+    kept = "doc_id long, cls binary, task int, n long, size long, sig binary, z binary"
+    names = ["doc_id", "cls", "task", "n", "size", "sig", "z"]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, seen = TaskContext.get().partitionId(), set()
@@ -98,17 +101,18 @@ def _read(shingle: int):
                         new.append(d)
                 sig = signatures(w, shingle)
                 empty = pa.nulls(j - i, pa.binary())
-                yield pa.record_batch([ids.slice(i, j - i), cls, pa.nulls(j - i, pa.int32()), pa.nulls(j - i, pa.int64()), empty, empty], names=["doc_id", "cls", "task", "n", "sig", "z"])
+                yield pa.record_batch([ids.slice(i, j - i), cls, pa.nulls(j - i, pa.int32()), pa.nulls(j - i, pa.int64()), pa.nulls(j - i, pa.int64()), empty, empty], names=names)
                 yield pa.record_batch(
                     [
                         pa.nulls(len(new), pa.int64()),
                         pa.array([raw[d] for d in new], pa.binary()),
                         pa.array([task] * len(new), pa.int32()),
                         pa.array([int(w.first[d + 1] - w.first[d]) for d in new], pa.int64()),
+                        pa.array([int(offsets[d + 1] - offsets[d]) for d in new], pa.int64()),
                         pa.array([sig[d].tobytes() for d in new], pa.binary()),
                         pa.array([zlib.compress(buf[offsets[d] : offsets[d + 1]].tobytes(), 1) for d in new], pa.binary()),
                     ],
-                    names=["doc_id", "cls", "task", "n", "sig", "z"],
+                    names=names,
                 )
 
     return kept, scan
@@ -118,7 +122,7 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         cls, sig = batch.column(0), np.ascontiguousarray(K.binary_rows(batch.column(1), np.uint16, VALUES)).view(np.int64)
         for band in range(BANDS):
-            yield pa.record_batch([pa.array(np.full(len(cls), band, np.int8)), pa.array(sig[:, band]), cls], names=["band", "key", "cls"])
+            yield pa.record_batch([pa.array(np.full(len(cls), band, np.int8)), pa.array(sig[:, band]), cls, batch.column(2)], names=["band", "key", "cls", "size"])
 
 
 def _find(up: list[int], x: int) -> int:
@@ -128,15 +132,40 @@ def _find(up: list[int], x: int) -> int:
     return x
 
 
+class Overlaps:
+    """Intersections of one set with all others of a block, from what each has and lacks of the features that most sets have."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        n, size = len(sets), np.array([len(s) for s in sets])
+        features, at = np.unique(np.concatenate(sets), return_inverse=True)
+        usual = np.bincount(at, minlength=len(features)) * 2 > n
+        owner = np.repeat(np.arange(n), size)
+        place = np.cumsum(usual) - 1
+        lacks = np.ones((n, int(usual.sum())), bool)  # at most twice as many cells as the sets have members
+        lacks[owner[usual[at]], place[at[usual[at]]]] = False
+        self.lack = lacks.sum(1)
+        who, what = np.nonzero(lacks)
+        odd = ~usual[at]
+        who, what = np.concatenate([who, owner[odd]]), np.concatenate([np.flatnonzero(usual)[what], at[odd]])
+        order = np.lexsort((what, who))
+        self.own, self.own_ends = what[order], np.concatenate([[0], np.cumsum(np.bincount(who, minlength=n))])
+        order = np.lexsort((who, what))
+        self.posted, self.ends = who[order], np.concatenate([[0], np.cumsum(np.bincount(what, minlength=len(features)))])
+        self.n, self.usual = n, lacks.shape[1]
+
+    def of(self, i: int) -> np.ndarray:
+        f = self.own[self.own_ends[i] : self.own_ends[i + 1]]
+        first, count = self.ends[f], self.ends[f + 1] - self.ends[f]
+        at = np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())
+        return self.usual - self.lack[i] - self.lack + np.bincount(self.posted[at], minlength=self.n)
+
+
 def compare(sig: np.ndarray, sets: list[np.ndarray], side: np.ndarray | None, band: int, threshold: float, least: list[int]) -> Iterator[tuple[int, np.ndarray]]:
     """(i, linked j > i) in one block. side: with two chunks, only pairs across; None: all pairs."""
     n = len(sig)
     bands = np.ascontiguousarray(sig).view(np.uint64)
     size = np.array([len(s) for s in sets])
-    if n > 2:
-        features, at = np.unique(np.concatenate(sets), return_inverse=True)
-        ends = np.concatenate([[0], np.cumsum(size)])
-        mark = np.zeros(len(features), bool)
+    overlaps = None
     for i in range(n - 1):
         j = np.arange(i + 1, n)
         if side is not None:
@@ -153,9 +182,8 @@ def compare(sig: np.ndarray, sets: list[np.ndarray], side: np.ndarray | None, ba
         if not len(j):
             continue
         if n > 2:
-            mark[at[ends[i] : ends[i + 1]]] = True
-            both = np.array([np.count_nonzero(mark[at[ends[x] : ends[x + 1]]]) for x in j])
-            mark[at[ends[i] : ends[i + 1]]] = False
+            overlaps = overlaps or Overlaps(sets)
+            both = overlaps.of(i)[j]
         else:
             both = np.array([len(np.intersect1d(sets[i], sets[x], assume_unique=True)) for x in j])
         linked = j[both >= threshold * (size[i] + size[j] - both) - 1e-9]
@@ -182,7 +210,7 @@ def _blocks(shingle: int, threshold: float, tolerance: float):
                 sig = np.frombuffer(b"".join(r[4] for r in block), np.uint16).reshape(b - a, VALUES)
                 side = np.array([r[2] for r in block])
                 count, up, linked_any = [0] * (b - a), list(range(b - a)), set()
-                _, _, _, low, high = rows[a][0]
+                _, _, low, high = rows[a][0]
                 for i, linked in compare(sig, sets[a:b], None if low == high else side, rows[a][0][0], threshold, least):
                     for x in linked.tolist():
                         count[i] += block[x][3]
@@ -205,8 +233,8 @@ def _blocks(shingle: int, threshold: float, tolerance: float):
         size = 0
         for batch in batches:
             c = [batch.column(k).to_pylist() for k in range(batch.num_columns)]
-            for band, key, n, low, high, part, cls, copies, sig, z in zip(*c, strict=True):
-                block = (band, key, n, low, high)
+            for band, key, low, high, part, cls, copies, sig, z in zip(*c, strict=True):
+                block = (band, key, low, high)
                 if size > 4 * K.CHUNK and held[-1][0] != block:
                     yield solve(held)
                     held, size = [], 0
@@ -233,38 +261,41 @@ def jaccard_join(docs: DataFrame, scratch: Scratch, shingle: int = 5, threshold:
     classes = scratch.table(classes, "classes")
     source = read.where("task is not null").groupBy("cls").agg(F.min("task").alias("task"))
 
-    texts = read.where("task is not null and n > 0").select("cls", "task", "sig", "z")
-    bands = source.join(texts.select("cls", "task", "sig"), ["cls", "task"]).select("cls", "sig")
-    bands = scratch.table(bands.mapInArrow(_bands, "band byte, key long, cls binary"), "bands")
+    texts = read.where("task is not null and n > 0").select("cls", "task", "size", "sig", "z")
+    bands = source.join(texts.select("cls", "task", "size", "sig"), ["cls", "task"]).select("cls", "sig", "size")
+    bands = scratch.table(bands.mapInArrow(_bands, "band byte, key long, cls binary, size long"), "bands")
     full = bands.groupBy("band", "key").agg(
-        F.count("*").alias("n"), *[F.sum(F.xxhash64(F.lit(s), "cls").cast("decimal(20,0)")).alias(f"s{s}") for s in (1, 2)]
+        F.count("*").alias("n"), F.ceil(F.sum(F.col("size") + EACH) / BLOCK).cast("int").alias("chunks"), *[F.sum(F.xxhash64(F.lit(s), "cls").cast("decimal(20,0)")).alias(f"s{s}") for s in (1, 2)]
     ).where("n > 1")
-    once = full.groupBy("n", "s1", "s2").agg(F.min(F.struct("band", "key")).alias("b")).select("n", "b.band", "b.key")
-    chunks = F.ceil(F.col("n") / MEMBERS).cast("int")
-    part = F.pmod(F.xxhash64(F.lit(3), "cls"), chunks.cast("long")).cast("int")
+    once = full.groupBy("n", "chunks", "s1", "s2").agg(F.min(F.struct("band", "key")).alias("b")).select("chunks", "b.band", "b.key")
+    part = F.pmod(F.xxhash64(F.lit(3), "cls"), F.col("chunks").cast("long")).cast("int")
     members = bands.join(once, ["band", "key"]).withColumn("part", part)
-    members = members.withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
-    members = members.select("band", "key", "n", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "cls")
+    members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    members = members.select("band", "key", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "cls")
     members = scratch.table(members, "members")
     scratch.drop("bands")
     asked = members.select("cls").distinct().join(source, "cls")
     texts = asked.join(texts, ["cls", "task"]).join(classes.select("cls", "copies"), "cls").select("cls", "copies", "sig", "z")
-    block = ["band", "key", "n", "low", "high"]
+    block = ["band", "key", "low", "high"]
     full = members.join(texts, "cls").select(*block, "part", "cls", "copies", "sig", "z")
     schema, run = _blocks(shingle, threshold, tolerance)
     found = full.repartition(*block).sortWithinPartitions(*block).mapInArrow(run, schema)
     found = scratch.table(found, "found")
     scratch.drop("members")
 
+    # Only linked classes have a first class other than themselves; what is joined is written first, so
+    # that both sides of a join are shuffles: adaptive execution can split a class of very many.
     roots = components(found.select(F.col("cls").alias("u"), F.col("root").alias("v")), scratch).withColumnsRenamed({"node": "cls", "root": "first_cls"})
+    roots = scratch.table(roots.join(classes.select("cls", "least_id"), "cls"), "roots")
+    least = roots.groupBy("first_cls").agg(F.min("least_id").alias("class_id"), F.min_by("cls", F.struct(F.col("least_id").isNull(), "least_id", "cls")).alias("kept_cls"))
+    first = scratch.table(roots.select("cls", "first_cls").join(scratch.table(least, "least").hint("merge"), "first_cls").select("cls", "class_id", "kept_cls", F.lit(True).alias("linked")), "first")
     links = found.groupBy("cls").agg(F.sum("links").alias("links"))
-    known = classes.join(roots, "cls", "left").join(links, "cls", "left")
-    known = known.withColumn("first_cls", F.coalesce("first_cls", "cls"))
-    least = known.groupBy("first_cls").agg(F.min("least_id").alias("class_id"), F.min_by("cls", F.struct(F.col("least_id").isNull(), "least_id", "cls")).alias("kept_cls"))
-    known = known.join(least, "first_cls").select("cls", "class_id", "kept_cls", "least_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.col("copies").alias("n_copies"))
+    known = classes.join(first, "cls", "left").join(links, "cls", "left")
+    own = lambda c, other: F.when(F.col("linked"), F.col(c)).otherwise(F.col(other)).alias(c)
+    known = known.select("cls", own("class_id", "least_id"), own("kept_cls", "cls"), "least_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.col("copies").alias("n_copies"))
     out = rows.join(scratch.table(known, "known"), "cls")
     out = scratch.table(out.select("doc_id", "class_id", "n_links", "n_copies", "cls", "kept_cls", "least_id"), "result")
-    scratch.drop("read", "classes", "found", "known")
+    scratch.drop("read", "classes", "found", "known", "roots", "least", "first")
     return out
 
 

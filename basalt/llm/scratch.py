@@ -8,10 +8,16 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Spark deletes the shuffle files of a statement when it ends, if this is set.
+TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only where none is set (tests)."""
+    """The folder named by ``spark.checkpoint.dir``; where none is set, a temporary one for a local master, and an error for others."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir is not set: intermediate tables need a folder that the cluster shares")
         named = tempfile.mkdtemp(prefix="basalt-shared-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
@@ -27,12 +33,15 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_folder(spark)}/basalt-{uuid.uuid4().hex}"
 
-    def table(self, df: DataFrame, name: str, tidy: bool = True) -> DataFrame:
-        """Write and read again. tidy: let Spark delete the shuffle files behind the table now, not when the driver's heap fills."""
-        path = f"{self.root}/{name}"
-        df.write.mode("overwrite").parquet(path)
-        if tidy:
-            self.spark.sparkContext._jvm.System.gc()
+    def table(self, df: DataFrame, name: str) -> DataFrame:
+        """Write and read again; the shuffle files behind the table go with the statement that wrote it."""
+        path, conf = f"{self.root}/{name}", self.spark.conf
+        before = conf.get(TIDY, None)
+        conf.set(TIDY, "true")
+        try:
+            df.write.mode("overwrite").parquet(path)
+        finally:
+            conf.unset(TIDY) if before is None else conf.set(TIDY, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
