@@ -10,8 +10,10 @@ A document matches an item where 13 tokens in a row (the whole item, if shorter)
 of 9 to 12 tokens the two masks leave some of the substitutions allowed without a hit; each such length has
 masks more, at fixed places of the whole item, that hit in these cases.
 
-The benchmark is hashed in blocks of at most ``block_bytes`` of text, so what is broadcast has a fixed
-bound; documents are scanned once a block, and are never shuffled.
+The benchmark is hashed in blocks of about ``block_bytes`` of text, items that are equal counted once, so
+what is broadcast has a fixed bound; documents are scanned once a block, and are never shuffled. Hits are
+listed in slices of ``SLICE`` and reduced to distinct diagonals as they come, so that texts and items of one
+repeated word, whose places all meet, take no more memory than their diagonals.
 
 Defined results: null texts and items count as empty and match nothing; null ids are returned as they
 are; repeated documents or items each give rows; empty tables give no rows.
@@ -34,6 +36,7 @@ from .scratch import plain
 
 MASKS = ((0, 1, 2, 3, 5, 6), (0, 1, 2, 4, 7, 8))
 SPAN, WINDOW, SHARE = 9, 13, 0.8
+SLICE = 1 << 18
 SCHEMA = "doc_id long, item_id long, doc_start long, item_start long, n_words long, n_matches long, item_words long"
 
 
@@ -76,13 +79,18 @@ def _seeds(w: K.Words, lengths: list[int]) -> Iterator[tuple[np.ndarray, np.ndar
             yield h[ok], np.flatnonzero(ok), n
 
 
+def _distinct(rows: np.ndarray) -> np.ndarray:
+    rows = rows[np.lexsort(rows.T[::-1])]
+    return rows[np.concatenate([[True], (rows[1:] != rows[:-1]).any(1)])] if len(rows) else rows
+
+
 class Seeds:
     """The hashed benchmark block: what the executors get."""
 
-    def __init__(self, items: list[tuple[int | None, str | None]]):
-        column = pa.array([t for _, t in items], pa.large_string())
+    def __init__(self, items: list[tuple[int | None, str | None, int]]):
+        column = pa.array([t for _, t, _ in items], pa.large_string())
         parts = [K.words(buf, offsets, K.PUNCT) for _, _, buf, offsets in K.text_chunks(column, 1 << 40)]
-        self.ids = [i for i, _ in items]
+        self.ids, self.times = [i for i, _, _ in items], [n for _, _, n in items]
         self.tokens = parts[0].hashes if parts else np.zeros(0, K.U)
         self.first = parts[0].first if parts else np.zeros(1, np.int64)
         size = np.diff(self.first)
@@ -106,23 +114,23 @@ class Seeds:
         out[(self.hashes >> K.U(64 - self.bits)).astype(np.int64)] = True
         return out
 
-    def hits(self, w: K.Words, table: np.ndarray) -> set[tuple[int, int, int]]:
-        """(document, item, diagonal) of every seed shared with the chunk."""
-        found: set[tuple[int, int, int]] = set()
+    def hits(self, w: K.Words, table: np.ndarray) -> np.ndarray:
+        """Rows (document, item, diagonal), each once, of the seeds shared with the chunk."""
+        found, size = [np.zeros((0, 3), np.int64)], 0
         for h, p, _ in _seeds(w, self.short):
             maybe = np.flatnonzero(table[(h >> K.U(64 - self.bits)).astype(np.int64)])
             low = np.searchsorted(self.hashes, h[maybe], "left")
-            high = np.searchsorted(self.hashes, h[maybe], "right")
-            real = np.flatnonzero(high > low)
-            if not len(real):
-                continue
-            count = (high - low)[real]
-            at = np.repeat(low[real], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-            place = np.repeat(p[maybe[real]], count)
-            doc = np.searchsorted(w.first, place, "right") - 1
-            q = self.places[at]
-            found.update(zip(doc.tolist(), self.item[q].tolist(), (place - q).tolist(), strict=True))
-        return found
+            count = np.searchsorted(self.hashes, h[maybe], "right") - low
+            ends = np.cumsum(count)
+            for x in range(0, int(ends[-1]) if len(ends) else 0, SLICE):
+                flat = np.arange(x, min(int(ends[-1]), x + SLICE))
+                own = np.searchsorted(ends, flat, "right")
+                q, place = self.places[low[own] + flat - ends[own] + count[own]], p[maybe[own]]
+                found.append(_distinct(np.stack([np.searchsorted(w.first, place, "right") - 1, self.item[q], place - q], 1)))
+                size += len(found[-1])
+                if size > max(SLICE, 2 * len(found[0])):
+                    found, size = [_distinct(np.concatenate(found))], 0
+        return _distinct(np.concatenate(found))
 
     def verify(self, w: K.Words, doc: int, item: int, diagonal: int) -> tuple[int, int, int, int] | None:
         """(document word, item word, words, equal words) of what agrees on a diagonal, or None."""
@@ -156,13 +164,13 @@ def _scan(block) -> callable:
             for i, _, buf, offsets in K.text_chunks(batch.column(1)):
                 w = K.words(buf, offsets, K.PUNCT)
                 best: dict[tuple[int, int], tuple] = {}
-                for doc, item, diagonal in seeds.hits(w, table):
+                for doc, item, diagonal in seeds.hits(w, table).tolist():
                     got = seeds.verify(w, doc, item, diagonal)
                     if got and (got[3], -got[0], -got[1]) > best.get((doc, item), (-1,))[0:3]:
                         best[doc, item] = (got[3], -got[0], -got[1], got[2])
                 for (doc, item), (matches, start, at, n) in sorted(best.items()):
                     size = int(seeds.first[item + 1] - seeds.first[item])
-                    rows.append((ids[i + doc].as_py(), seeds.ids[item], -start, -at, n, matches, size))
+                    rows += [(ids[i + doc].as_py(), seeds.ids[item], -start, -at, n, matches, size)] * seeds.times[item]
             columns = list(zip(*rows, strict=True)) or [()] * 7
             yield pa.record_batch([pa.array(c, pa.int64()) for c in columns], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
@@ -170,13 +178,13 @@ def _scan(block) -> callable:
 
 
 def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[Seeds]:
-    items = plain(benchmark, item_id="long", text="string")
+    items = plain(benchmark, item_id="long", text="string").groupBy("item_id", "text").agg(F.count("*").alias("times"))
     total = items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     n = -(-total // (block_bytes // 2)) if total > block_bytes else 1
     for b in range(n):
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b) if n > 1 else items
         rows = sorted(part.collect(), key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
-        yield Seeds([(r[0], r[1]) for r in rows])
+        yield Seeds([tuple(r) for r in rows])
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, block_bytes: int = 8 << 20) -> DataFrame:
@@ -202,7 +210,7 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, block_bytes: int
                 clean = np.ones(batch.num_rows, bool)
                 for i, _, buf, offsets in K.text_chunks(batch.column(at)):
                     w = K.words(buf, offsets, K.PUNCT)
-                    for doc, item, diagonal in seeds.hits(w, table):
+                    for doc, item, diagonal in seeds.hits(w, table).tolist():
                         if clean[i + doc] and seeds.verify(w, doc, item, diagonal):
                             clean[i + doc] = False
                 yield batch.filter(pc.equal(pa.array(clean), True))

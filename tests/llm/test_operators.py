@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import math
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -395,7 +396,7 @@ def test_masks_cover_two_substitutions_in_thirteen():
 @pytest.mark.parametrize("n", range(9, 13))
 def test_short_items_with_every_substitution_allowed(n):
     item = passage(40 + n, n).split()
-    seeds = decontam.Seeds([(1, " ".join(item)), (2, passage(60, 30))])
+    seeds = decontam.Seeds([(1, " ".join(item), 1), (2, passage(60, 30), 1)])
     table = seeds.table()
     for bad in itertools.combinations(range(n), n - decontam.needed(n)):
         text = " ".join(["lead", *(f"x{p}" if p in bad else w for p, w in enumerate(item))])
@@ -405,6 +406,42 @@ def test_short_items_with_every_substitution_allowed(n):
             assert any(seeds.verify(w, *hit) for hit in seeds.hits(w, table)), (bad, end)
 
 
+def matches(doc, item):
+    """Whether some 13 tokens in a row (the whole item, if shorter) agree with 80%, whole items under nine with all."""
+    n = min(13, len(item))
+    if not n:
+        return False
+    need = n if n < 9 else math.ceil(0.8 * n - 1e-9)
+    return any(sum(a == b for a, b in zip(doc[x : x + n], item[y : y + n], strict=True)) >= need for x in range(len(doc) - n + 1) for y in range(len(item) - n + 1))
+
+
+def test_decontamination_is_that_of_brute_force(spark):
+    rng = np.random.default_rng(23)
+    items = {k: passage(80 + k, n).split() for k, n in enumerate([3, 8, 9, 10, 11, 12, 13, 14, 20, 40] * 2)}
+    docs = {}
+    for k in range(150):
+        item = items[int(rng.integers(len(items)))]
+        x = int(rng.integers(0, max(1, len(item) - 12)))
+        part = [f"z{k}" if rng.random() < rng.choice([0.0, 0.1, 0.2, 0.3]) else t for t in item[x : x + int(rng.integers(8, 30))]]
+        docs[k] = passage(900 + k, int(rng.integers(0, 30))).split() + part + passage(2000 + k, int(rng.integers(0, 30))).split()
+    df = spark.createDataFrame([(k, " ".join(w)) for k, w in docs.items()], "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in items.items()] + [(0, " ".join(items[0]))], "item_id long, text string")
+    got = sorted((r.doc_id, r.item_id) for r in decontam.contaminated(df, bench).collect())
+    want = sorted((d, i) for d, w in docs.items() for i, t in [*items.items(), (0, items[0])] if matches(w, t))
+    assert got == want and 50 < len({d for d, _ in want}) < 150
+
+
+def test_one_word_over_and_over_is_bounded():
+    seeds = decontam.Seeds([(1, "la " * 300, 1), (2, passage(61, 30), 1)])
+    text = pa.array(["la " * 60_000])
+    _, _, buf, offsets = next(iter(decontam.K.text_chunks(text)))
+    tracemalloc.start()
+    found = seeds.hits(decontam.K.words(buf, offsets, decontam.K.PUNCT), seeds.table())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found) >= 60_000 and peak < 200 << 20
+
+
 def test_decontamination(spark):
     items = {1: passage(21, 30), 2: passage(22, 13), 3: "Tiny item!", 4: None, 5: ""}
     swap = items[1].split()
