@@ -6,12 +6,16 @@ times its own size, what is cut being shared again by weight until none is above
 
 Documents are counted by source and exact size: these counts, bounded by the longest text, are all
 that the fitting sees. A source takes every document ``floor(target / size of the source)`` times; the
-rest of its budget must be a subset. Each size gives its proportional share of documents (rounded
-down); a bounded-knapsack dynamic program over the sizes that are left closes the gap exactly, or to
-the nearest sum that can be reached below it. Which documents of a size are taken once more is
-decided by a seeded hash of their ids: in the (source, size) groups that are split, documents fall
-into about sqrt(count) hash buckets, whose counts say which buckets are taken whole, and documents
-are ranked in the one bucket on the border only. So no group is ranked in one task.
+rest of its budget must be a subset. Of a source of at most ``SMALL`` words a bounded-knapsack dynamic
+program finds the largest sum that fits. Of a larger one, each size gives its proportional share of
+documents (rounded down), the gap is filled greedily up to a window of ``SMALL`` words or eight of the
+longest texts, to which some documents of the smallest sizes are given back, and the program closes this
+window: exactly, or to the nearest sum below that its documents reach.
+
+Which documents of a size are taken once more is decided by a seeded hash of their ids. Documents of a
+(source, size) fall into 64 hash buckets, whose counts say which are taken whole; those of the one bucket
+on the border fall into 1,024, and documents are ranked in the one of these on the border only. So no
+group is counted, joined or ranked in one task.
 
 Defined results: a null or empty text has size 0 and is taken 0 words; a null source is a source of
 its own, weighed last; null ids are ranked by hash like others; rows repeated exactly are
@@ -29,6 +33,8 @@ from pyspark.sql import functions as F
 from .scratch import Scratch, plain
 
 WEIGHTS = (3.0, 1.0, 2.0)
+SMALL = 1 << 16
+COARSE, FINE = 64, 1024
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -58,16 +64,16 @@ def fit_subset(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray
     total = int((sizes * counts).sum())
     if budget >= total:
         return counts.copy()
-    take = (counts.astype(object) * budget // max(total, 1)).astype(np.int64)
-    left, rest = budget - int((take * sizes).sum()), counts - take
-    reserve = 4 * int(sizes.max())
-    for i in np.argsort(-sizes, kind="stable"):  # all but a reserve is filled greedily
-        if left <= reserve:
-            break
-        n = min(int(rest[i]), (left - reserve) // int(sizes[i]))
-        take[i] += n
-        rest[i] -= n
-        left -= n * int(sizes[i])
+    if total <= SMALL:
+        return _knapsack(sizes, counts, budget)
+    take = (counts.astype(object) * budget // total).astype(np.int64)
+    left, rest, window = budget - int((take * sizes).sum()), counts - take, max(SMALL, 8 * int(sizes.max()))
+    for i in np.argsort(-sizes, kind="stable"):  # down to the window
+        n = max(0, min(int(rest[i]), (left - window) // int(sizes[i])))
+        take[i], rest[i], left = take[i] + n, rest[i] - n, left - n * int(sizes[i])
+    for i in np.argsort(sizes, kind="stable"):  # up to the window
+        n = max(0, min(int(take[i]), (window - left) // int(sizes[i])))
+        take[i], rest[i], left = take[i] - n, rest[i] + n, left + n * int(sizes[i])
     return take + _knapsack(sizes, rest, left)
 
 
@@ -114,30 +120,37 @@ def mix(docs: DataFrame, scratch: Scratch, seed: int = 17, weights: tuple[float,
     rows = plain(docs, doc_id="long", text="string", source="string")
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")
     src = F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), "source")).alias("src")
-    rows = scratch.table(rows.select("doc_id", src, size, F.xxhash64(F.lit(seed), "doc_id").alias("h")), "sizes")
-    counts = rows.groupBy("src", "size").agg(F.count("*").alias("n"))
-    totals = {r["src"]: r["total"] for r in counts.groupBy("src").agg(F.sum(F.col("size") * F.col("n")).alias("total")).collect()}
+    h = F.xxhash64(F.lit(seed), "doc_id")
+    hashed = [h.alias("h"), F.pmod(F.xxhash64(F.lit(1), h), F.lit(COARSE)).alias("bucket"), F.pmod(F.xxhash64(F.lit(2), h), F.lit(FINE)).alias("fine")]
+    rows = scratch.table(rows.select("doc_id", src, size, *hashed), "sizes")
+    counts = scratch.table(rows.groupBy("src", "size", "bucket").agg(F.count("*").alias("m")), "counts")
+    of_size = counts.groupBy("src", "size").agg(F.sum("m").alias("n"))
+    totals = {r["src"]: r["total"] for r in of_size.groupBy("src").agg(F.sum(F.col("size") * F.col("n")).alias("total")).collect()}
     order = sorted(totals, key=lambda s: (s == "n", s))  # Python compares by code point
     budgets = dict(zip(order, targets([totals[s] for s in order], weights, share, most), strict=True))
-    plan = counts.where("size > 0").groupBy("src").applyInPandas(_plan(budgets), "src string, size long, n long, whole long, extra long")
-    plan = scratch.table(plan, "plan")
-
-    split = plan.where("extra > 0 and extra < n").withColumn("buckets", F.when(F.col("n") > 64, F.ceil(F.sqrt("n"))).otherwise(1).cast("long"))
-    held = rows.join(split.select("src", "size", "whole", "extra", "buckets").hint("merge"), ["src", "size"])
-    held = held.withColumn("bucket", F.pmod(F.xxhash64(F.lit(1), "h"), F.col("buckets"))).drop("buckets")
-    held = held.repartition("src", "size", "bucket")  # else all buckets of a group would stay in its task
-    of_bucket = held.groupBy("src", "size", "bucket", "extra").agg(F.count("*").alias("m"))
-    before = F.coalesce(F.expr("sum(m) over (partition by src, size order by bucket rows between unbounded preceding and 1 preceding)"), F.lit(0))
-    quota = of_bucket.withColumn("quota", F.least(F.greatest(F.col("extra") - before, F.lit(0)), "m")).select("src", "size", "bucket", "m", "quota")
-    known = held.select("doc_id", "src", "size", "h", "bucket", "whole").join(quota.hint("merge"), ["src", "size", "bucket"])
-    rank = F.expr("row_number() over (partition by src, size, bucket order by h, doc_id)")
+    plan = scratch.table(of_size.where("size > 0").groupBy("src").applyInPandas(_plan(budgets), "src string, size long, n long, whole long, extra long"), "plan")
+
+    def quotas(counts: DataFrame, wanted: DataFrame, bucket: str, name: str) -> DataFrame:
+        """How many of each bucket's ``m`` documents are taken once more, first buckets first."""
+        before = F.expr(f"sum(m) over (partition by src, size order by {bucket} rows between unbounded preceding and 1 preceding)")
+        quota = F.least(F.greatest(F.col("extra") - F.coalesce(before, F.lit(0)), F.lit(0)), "m").alias("quota")
+        return scratch.table(counts.join(wanted.hint("merge"), ["src", "size"]).select("src", "size", bucket, "m", "whole", quota), name)
+
     border = F.expr("quota > 0 and quota < m")
-    columns = ["doc_id", "src", "size", "times"]
-    ranked = known.where(border).withColumn("times", F.col("whole") + (rank <= F.col("quota")).cast("long"))
-    others = known.where(~border).withColumn("times", F.col("whole") + (F.col("quota") > 0).cast("long"))
-    sure = rows.join(plan.select("src", "size", "n", "whole", "extra").hint("merge"), ["src", "size"], "left").where("extra is null or extra = 0 or extra = n")
-    sure = sure.withColumn("times", F.coalesce(F.col("whole") + (F.col("extra") > 0).cast("long"), F.lit(0)))
-    out = sure.select(*columns).unionByName(others.select(*columns)).unionByName(ranked.select(*columns))
+    times = F.coalesce(F.col("whole") + (F.col("quota") > 0).cast("long"), F.lit(0)).alias("times")
+    columns = ["doc_id", "src", "size"]
+    coarse = quotas(counts, plan.select("src", "size", "whole", "extra"), "bucket", "coarse")
+    known = rows.join(coarse.hint("merge"), ["src", "size", "bucket"], "left")
+    held = scratch.table(known.where(border).select(*columns, "h", "fine", "quota"), "held")
+    wanted = coarse.where(border).select("src", "size", "whole", F.col("quota").alias("extra"))
+    fine = quotas(held.groupBy("src", "size", "fine").agg(F.count("*").alias("m")), wanted, "fine", "fine")
+    held = held.drop("quota").join(fine.hint("merge"), ["src", "size", "fine"])
+    rank = F.expr("row_number() over (partition by src, size, fine order by h, doc_id)")
+    ranked = held.where(border).withColumn("times", F.col("whole") + (rank <= F.col("quota")).cast("long"))
+    out = known.where(~F.coalesce(border, F.lit(False))).select(*columns, times)
+    out = out.unionByName(held.where(~border).select(*columns, times)).unionByName(ranked.select(*columns, "times"))
     budget = [(s, int(totals[s]), float(budgets[s])) for s in order]
     out = out.join(docs.sparkSession.createDataFrame(budget, "src string, source_size long, target double"), "src")
-    return out.select("doc_id", "size", "source_size", "target", (F.col("times") * F.col("size")).cast("long").alias("taken"))
+    out = scratch.table(out.select("doc_id", "size", "source_size", "target", (F.col("times") * F.col("size")).cast("long").alias("taken")), "mix")
+    scratch.drop("sizes", "counts", "plan", "coarse", "held", "fine")
+    return out

@@ -132,17 +132,29 @@ def test_targets():
     assert mixing.targets([0, 10]) == pytest.approx([0, 15]) and mixing.targets([]) == []
 
 
-def test_subset_sums_are_the_best_possible():
+def test_subset_sums_are_the_best_possible(monkeypatch):
     rng = np.random.default_rng(1)
-    for _ in range(200):
-        sizes = np.unique(rng.integers(1, 12, 4))
-        counts = rng.integers(0, 4, len(sizes))
-        sums = {int(np.dot(c, sizes)) for c in itertools.product(*[range(n + 1) for n in counts])}
-        budget = int(rng.integers(0, int(np.dot(sizes, counts)) + 1))
+    for small in (mixing.SMALL, 16):  # the second goes by shares and a window
+        monkeypatch.setattr(mixing, "SMALL", small)
+        for _ in range(300):
+            sizes = np.unique(rng.integers(1, 12, 4))
+            counts = rng.integers(0, 4, len(sizes))
+            sums = {int(np.dot(c, sizes)) for c in itertools.product(*[range(n + 1) for n in counts])}
+            budget = int(rng.integers(0, int(np.dot(sizes, counts)) + 1))
+            take = mixing.fit_subset(sizes, counts, budget)
+            assert (take >= 0).all() and (take <= counts).all()
+            assert int(np.dot(take, sizes)) == max(s for s in sums if s <= budget)
+
+
+def test_large_budgets_are_met():
+    rng = np.random.default_rng(2)
+    for _ in range(20):
+        sizes = np.unique(rng.integers(1, 3000, 300))
+        counts = rng.integers(1, 4000, len(sizes))
+        budget = int(rng.integers(1, int(np.dot(sizes, counts))))
         take = mixing.fit_subset(sizes, counts, budget)
-        assert (take >= 0).all() and (take <= counts).all()
-        got = int(np.dot(take, sizes))
-        assert got <= budget and max(s for s in sums if s <= budget) - got <= max(sizes)
+        assert (take >= 0).all() and (take <= counts).all() and int(np.dot(take, sizes)) == budget
+    assert int(np.dot(mixing.fit_subset(np.array([6, 9]), np.array([10**6, 10**6]), 10**6), [6, 9])) == 999_999
 
 
 def test_mix(spark, scratch):
@@ -157,7 +169,15 @@ def test_mix(spark, scratch):
     for r in out:
         s = by.setdefault((r.source_size, r.target), [0])
         s[0] += r.taken
-    assert all(abs(taken[0] - target) <= 60 or target > 20000 for (_, target), taken in by.items())
+    assert all(abs(taken[0] - target) <= 60 or size > 20_000 for (size, target), taken in by.items())  # one source is one text of 24,000 words and few more
+    assert rows(mixing.mix(docs.repartition(3), Scratch(spark))) == sorted(map(tuple, out), key=repr)
+    long = next((size, target) for size, target in by if size > 20_000)
+    parts = sorted(r.size for r in out if (r.source_size, r.target) == long)
+    reach = {0}
+    for n in parts:
+        reach |= {x + n for x in reach}
+    whole, rest = divmod(int(long[1]), long[0])
+    assert by[long][0] == whole * long[0] + max(x for x in reach if x <= rest)
     hot = [r for r in out if source.get(r.doc_id) == "hot"]
     assert abs(sum(r.taken for r in hot) - hot[0].target) < 3
     assert mixing.mix(empty(spark), scratch).count() == 0
