@@ -11,7 +11,9 @@ miss it with probability 1e-6, and unchanged copies of short templates (whose wi
 word) never. In windows of 16 words or fewer a word more weighs too much for that, so their widened
 words have bands too: their similarity is 0.6 or more, 0.5 for three words (missed with 2e-5). Before windows are cut, texts and windows without any *anchor* are passed over, which loses
 nothing: anchors are words chosen so that, of each template, the shingles without one are fewer than a
-match must hold.
+match must hold. Texts are first cut into segments of ``SEGMENT`` words with the words around that their
+windows need, and windows out of these, so that no row made per window carries more than the window: the
+work grows with the text, not with its square.
 
 The templates are a fixed list, so the tables broadcast have a fixed size. Nothing of the documents is
 shuffled but the verified matches.
@@ -31,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .scratch import plain
 
-# License notices.
+# License notices, and the whole texts of the short licenses.
 TEMPLATES = {
     "all-rights-reserved": "All rights reserved.",
     "mit-notice": "Released under the MIT License.",
@@ -47,10 +49,14 @@ TEMPLATES = {
     "cc-by-nc-4.0-notice": "Licensed under CC BY-NC 4.0.",
     "cc-by-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "cc-by-sa-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "mit-full": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    "bsd-3-clause-full": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    "isc-full": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    "zlib-full": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.",
     "cc0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
 }
 BANDS, ROWS = 16, 1
-SHORT = 16
+SHORT, SEGMENT = 16, 512
 
 
 def words_of(text: str) -> list[str]:
@@ -124,20 +130,32 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, share: float
     rows = plain(docs, doc_id="long", text="string")
     rows = rows.where(_let(F.lower("text"), lambda low: reduce(or_, [F.contains(low, F.lit(m)) for m in marks], F.lit(False))))
     rows = rows.select("doc_id", _words(F.col("text")).alias("words"))
+    longest = max(by_length, default=1)
+    pad, total = longest + longest // 8 + 1, F.size("words")
+
+    def segment(k: Column) -> Column:
+        at = k * SEGMENT + 1
+        low = F.greatest(F.lit(1), at - pad)
+        return F.struct(at.alias("at"), low.alias("low"), F.slice("words", low, F.least(total, at + SEGMENT + 2 * pad) - low + 1).alias("part"))
+
+    rows = rows.where("size(words) > 1").select("doc_id", total.alias("total"), F.explode(F.transform(F.sequence(F.lit(0), F.floor((total - 1) / SEGMENT).cast("int")), segment)).alias("segment"))
+    rows = rows.select("doc_id", "total", "segment.*").where(F.arrays_overlap("part", F.array(*[F.lit(m) for m in marks]).cast("array<string>")))
     kinds = F.array(*[F.struct(F.lit(n).alias("length"), F.array(*[F.lit(w) for w in sorted(ws)]).alias("marks")) for n, ws in sorted(by_length.items())])
-    rows = rows.select("doc_id", "words", F.explode(kinds).alias("kind")).select("doc_id", "words", "kind.*")
-    rows = rows.withColumn("places", F.filter(F.sequence(F.lit(1), F.size("words")), lambda i: F.array_contains("marks", F.element_at("words", i)))).where("size(words) > 1")
+    rows = rows.select("*", F.explode(kinds).alias("kind")).select("doc_id", "total", "at", "low", "part", "kind.*")
+    places = F.transform(F.filter(F.sequence(F.lit(1), F.size("part")), lambda i: F.array_contains("marks", F.element_at("part", i))), lambda i: F.col("low") + i - 1)
     step = F.greatest(F.lit(1), F.floor(F.col("length") / 8)).cast("int")
     first = lambda p: F.greatest(F.lit(1), p - F.col("length") + 1 - step)
-    last = lambda p: F.least(F.size("words"), p + step)
-    starts = F.array_distinct(F.flatten(F.transform("places", lambda p: F.filter(F.sequence(first(p), last(p)), lambda s: (s - 1) % step == 0))))
-    rows = rows.select("doc_id", "words", "length", F.explode_outer(starts).alias("start")).where("start is not null")
-    begin = F.greatest(F.lit(1), F.col("start") - step)
-    windows = rows.select(
-        "doc_id", "length", "start", begin.alias("begin"),
-        _shingles(F.slice("words", F.col("start"), F.col("length"))).alias("shingles"),
-        _pairs(F.slice("words", begin, F.col("start") + F.col("length") + step - begin)).alias("wide"),
-    ).where("size(shingles) > 0")
+    last = lambda p: F.least(F.col("total"), p + step)
+    own = lambda s: ((s - 1) % step == 0) & (s >= F.col("at")) & (s < F.col("at") + SEGMENT)
+    starts = F.array_distinct(F.flatten(F.transform(places, lambda p: F.filter(F.sequence(first(p), F.greatest(first(p), last(p))), own))))
+
+    def window(s: Column) -> Column:
+        begin = F.greatest(F.lit(1), s - step)
+        cut = lambda x, n: F.slice("part", x - F.col("low") + 1, n)
+        return F.struct(s.alias("start"), begin.alias("begin"), cut(s, F.col("length")).alias("own"), cut(begin, s + F.col("length") + step - begin).alias("broad"))
+
+    windows = rows.select("doc_id", "length", F.explode(F.transform(starts, window)).alias("window")).select("doc_id", "length", "window.*")
+    windows = windows.select("doc_id", "length", "start", "begin", _shingles(F.col("own")).alias("shingles"), _pairs(F.col("broad")).alias("wide")).where("size(shingles) > 0")
     bands = F.when(F.col("length") <= SHORT, F.concat(_bands(F.col("shingles")), _bands(F.col("wide")))).otherwise(_bands(F.col("shingles")))
     keyed = windows.withColumn("band", F.explode_outer(F.array_distinct(bands)))
     found = keyed.join(F.broadcast(table), ["length", "band"])

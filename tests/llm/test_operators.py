@@ -260,6 +260,26 @@ def test_licenses(spark):
     assert licenses.scan(empty(spark)).count() == 0
 
 
+def test_whole_texts_across_segments(spark):
+    data = []
+    for k, name in enumerate(sorted(licenses.TEMPLATES)):
+        for lead in (0, 300, 505, 1100):
+            data.append((10 * k + lead % 7, name, f"{passage(60 + k, lead)} {licenses.TEMPLATES[name]} {passage(90 + k, 40)}"))
+    out = licenses.scan(spark.createDataFrame([(i, t) for i, _, t in data], "doc_id long, text string")).collect()
+    got = {(r.doc_id, r.license): r for r in out}
+    assert all((i, name) in got and got[i, name].containment == 1.0 for i, name, _ in data)
+
+
+def test_long_texts_take_linear_time(spark):
+    seconds = []
+    for n in (3_000, 3_000, 24_000):
+        df = spark.createDataFrame([(1, "license " * n)], "doc_id long, text string")
+        began = time.perf_counter()
+        assert licenses.scan(df).count() == 0
+        seconds.append(time.perf_counter() - began)
+    assert seconds[2] < 16 * seconds[1], seconds
+
+
 def test_short_notices_with_a_word_put_in(spark):
     data, want = [], set()
     for name, text in sorted(licenses.TEMPLATES.items()):
