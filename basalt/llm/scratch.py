@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,15 +35,26 @@ class Scratch:
         self.root = f"{shared_folder(spark)}/basalt-{uuid.uuid4().hex}"
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
-        """Write and read again; the shuffle files behind the table go with the statement that wrote it."""
-        path, conf = f"{self.root}/{name}", self.spark.conf
+        """Write and read again."""
+        path = f"{self.root}/{name}"
+        self._write(lambda: df.write.mode("overwrite").parquet(path))
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def bucketed(self, df: DataFrame, name: str, table: str, buckets: int, key: str) -> DataFrame:
+        """Write as a bucketed table ``table``, to be dropped by the caller: groups by ``key`` need no shuffle."""
+        path = f"{self.root}/{name}"
+        self._write(lambda: df.write.mode("overwrite").bucketBy(buckets, key).option("path", path).saveAsTable(table))
+        return self.spark.table(table)
+
+    def _write(self, write: Callable[[], None]) -> None:
+        """The shuffle files behind a table go with the statement that wrote it."""
+        conf = self.spark.conf
         before = conf.get(TIDY, None)
         conf.set(TIDY, "true")
         try:
-            df.write.mode("overwrite").parquet(path)
+            write()
         finally:
             conf.unset(TIDY) if before is None else conf.set(TIDY, before)
-        return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
         """Delete tables that no later plan reads; without names, all of them."""

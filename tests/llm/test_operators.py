@@ -202,45 +202,145 @@ def test_language_model(spark, scratch):
     want = sorted((round(sum(math.log10((c.get(w, 0) + 1) / (n + v + 1)) for w in [*words(r.text), 0]), 5), len(words(r.text)) + 1, sum(w in c for w in [*words(r.text), 0])) for r in data)
     assert sorted((round(r.base_score, 5), r.n_tokens, r.n_known) for r in out) == want
     assert {r.train_tokens for r in out} == {n}
+    few = lambda: sorted((r.score for r in lm.score(base.limit(12), scratch, samples=2, burn=1).collect()))
+    assert few() == few()
     short = [r for r in out if r.n_tokens == 13]
     assert short and all(r.score > r.base_score for r in short)
     assert lm.score(empty(spark), scratch).count() == 0
 
 
-def test_each_context_has_its_own_restaurant(spark, scratch):
-    text = " ".join(f"v{i}" for i in range(100_000))
-    df = spark.createDataFrame([(0, text), (1, "a b a c a b"), (None, "b a")], "doc_id long, text string")
-    batches = [pa.record_batch([pa.array([0]), pa.array([text])], names=["doc_id", "text"])]
-    _, _, buf, offsets = next(iter(lm.K.text_chunks(batches[0].column(1))))
-    assert len(np.unique(lm.tokens(lm.K.words(buf, offsets))[1])) == 100_001
-    hot, flags = np.zeros(0, lm.K.U), df.selectExpr("doc_id", "text", "false AS held")
-    model = flags.mapInArrow(lm._train(hot, 7), "bucket int, blob binary").groupBy("bucket").applyInPandas(lm._merge(7), lm.STATE)
-    history, state = lm.sample(scratch.table(model, "m"), hot, 7, scratch)
-    known, tables = {}, {}
-    for bucket, own in state.toPandas().groupby("bucket"):
-        seats = lm.Seats(bucket, own, hot, history)
-        for s in range(1, lm.SWEEPS + 1):
-            seats.sweep(s)
-        for c, n in zip(seats.seats.tolist(), seats.counts.tolist(), strict=True):
-            assert known.setdefault(c, n) == n
-        for x, n in zip(seats.seat.tolist(), seats.tables.tolist(), strict=True):
-            tables.setdefault(int(seats.seats[x]), [int(seats.around[lm.SWEEPS][x]), 0])[1] += n
-    assert sorted(known.values())[-4:] == [1, 3, 3, 4] and len(known) == 100_004
-    assert all(a == b for a, b in tables.values()) and len(tables) == len(known)
-
-
-def test_predictive_probabilities_sum_to_one():
+def test_tables_follow_their_conditional():
+    """The tables of a dish, redrawn customer by customer, against the exact distribution of their number."""
+    d, theta, p, others = 0.6, 1.0, 0.05, 7
+    for c in (2, 5, 9):
+        ways = {1: 1.0}
+        for k in range(1, c):
+            ways = {t: ways.get(t - 1, 0) + (k - t * d) * ways.get(t, 0) for t in range(1, k + 2)}
+        want = np.array([ways[t] * math.prod((theta + d * (others + j)) * p for j in range(t)) for t in range(1, c + 1)])
+        m, rng = 20_000, np.random.default_rng(c)
+        seats = lm.Tables.begin(np.full(m, c), np.full(m, (theta + d * others) * p), d, rng)
+        for _ in range(12 * c):
+            seats.redraw(np.full(m, p), np.full(m, others), d, theta, rng)
+            assert (np.bincount(seats.dish, seats.size * seats.n, m) == c).all()
+        got = np.bincount(seats.total(), minlength=c + 1)[1:] / m
+        assert np.abs(got - want / want.sum()).max() < 0.02, c
+
+
+def test_seating_begins_near_its_expectation():
+    rng = np.random.default_rng(6)
+    count = np.array([1, 2, 3, 50, 10**6, 10**9] * 50)
+    seats = lm.Tables.begin(count, np.full(len(count), 30.0), 0.6, rng)
+    assert (np.bincount(seats.dish, seats.size * seats.n, len(count)) == count).all() and (seats.n > 0).all() and (seats.size > 0).all()
+    assert len(seats.size) < 100 * len(count)  # sizes, not tables or customers
+    before = seats.total().astype(float)
+    for _ in range(300):
+        seats.redraw(np.full(len(count), 0.1), np.full(len(count), 500) - seats.total() * 0, 0.6, 0.0, rng)
+    assert abs(seats.total()[count == 50].mean() / before[count == 50].mean() - 1) < 0.15
+
+
+def slow_scores(data, held, d, sweeps, burn):
+    """The same model with every customer redrawn in turn and no state held still: mean probabilities of each token."""
+    rng = np.random.default_rng(12)
+    top: dict = {}
+    low: dict = {}
+    customers = [(a, b) for i, w in data if not held(i) for a, b in zip([0, *w], [*w, 1], strict=True)]
+    words = sorted({b for _, b in customers}, key=str)
+    base = 1 / (len(words) + 1)
+    state = {"d0": 0.5}
+
+    def total(rest):
+        return sum(sum(v) for v in rest.values()), sum(len(v) for v in rest.values())
+
+    def p0(w):
+        c, t = total(top)
+        own = top.get(w, [])
+        return (max(sum(own) - state["d0"] * len(own), 0) + (1 + state["d0"] * t) * base) / (1 + c)
+
+    def p1(u, w):
+        c, t = total(low.get(u, {}))
+        own = low.get(u, {}).get(w, [])
+        return (max(sum(own) - d * len(own), 0) + (1 + d * t) * p0(w)) / (1 + c)
+
+    def sit(rest, w, disc, new):
+        own = rest.setdefault(w, [])
+        weights = np.array([n - disc for n in own] + [new])
+        k = int(rng.choice(len(weights), p=weights / weights.sum()))
+        if k == len(own):
+            own.append(1)
+            return True
+        own[k] += 1
+        return False
+
+    def leave(rest, w):
+        own = rest[w]
+        k = int(rng.choice(len(own), p=np.array(own) / sum(own)))
+        own[k] -= 1
+        if not own[k]:
+            del own[k]
+            return True
+        return False
+
+    def enter(u, w):
+        if sit(low.setdefault(u, {}), w, d, (1 + d * total(low[u])[1]) * p0(w)):
+            sit(top, w, state["d0"], (1 + state["d0"] * total(top)[1]) * base)
+
+    for u, w in customers:
+        enter(u, w)
+    asked = {(a, b) for _, x in data for a, b in zip([0, *x], [*x, 1], strict=True)}
+    out = dict.fromkeys(asked, 0.0)
+    for s in range(sweeps):
+        sums = [sum(v) for v in top.values()]
+        state["d0"] = lm._discount(sums.count(1), sums.count(2))
+        for u, w in customers:
+            if leave(low[u], w):
+                leave(top, w)
+            enter(u, w)
+        if s >= burn:
+            for a, b in asked:
+                out[a, b] += p1(a, b) / (sweeps - burn)
+    return [sum(math.log10(out[a, b]) for a, b in zip([0, *x], [*x, 1], strict=True)) for _, x in data]
+
+
+def test_scores_are_those_of_a_plain_sampler(spark, scratch):
+    rng = np.random.default_rng(30)
+    names = [f"n{k}" for k in range(14)]
+    data = []
+    for i in range(70):
+        w, k = [], int(rng.integers(14))
+        for _ in range(int(rng.integers(3, 9))):
+            w.append(names[k])
+            k = (k * 3 + int(rng.choice([1, 2, 5], p=[0.7, 0.2, 0.1]))) % 14 if rng.random() < 0.8 else int(rng.integers(14))
+        data.append((i, w))
+    held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in data], "doc_id long, text string")
+    count: dict = {}
+    for i, w in data:
+        for pair in zip([0, *w], [*w, 1], strict=True):
+            count[pair] = count.get(pair, 0) + (not held(i))
+    ns = list(count.values())
+    want = slow_scores(data, held, lm._discount(ns.count(1), ns.count(2)), 100, 20)
+    for bucket_bytes in (1 << 20, 100):  # the second deals common contexts over buckets
+        got = {r.doc_id: r for r in lm.score(df, scratch, bucket_bytes=bucket_bytes, samples=8, burn=3).collect()}
+        off = np.array([(got[i].score - x) / got[i].n_tokens for (i, _), x in zip(data, want, strict=True)])
+        assert np.abs(off).max() < 0.08 and abs(off.mean()) < 0.01, (bucket_bytes, off)
+
+
+def test_common_contexts_are_dealt_out(spark, scratch):
+    df = spark.createDataFrame([(i, " ".join(f"the w{(i * 7 + k) % 400}" for k in range(50)), False) for i in range(40)], "doc_id long, text string, held boolean")
+    to = lm.deal(df, 16, scratch)
+    assert len(to.hot) == 1 and to.parts[0] >= 7
+    batch = pa.record_batch([pa.array([1]), pa.array([" ".join(f"the w{k}" for k in range(400))]), pa.array([False])], names=["doc_id", "text", "held"])
+    _, _, word, context, _ = next(iter(lm._gathered([batch])))
+    sizes = np.bincount(to.bucket(context, word), minlength=16)
+    assert sizes.max() < 150 and len(np.unique(to.bucket(context[context == to.hot[0]], word[context == to.hot[0]]))) == to.parts[0]
+
+
+def test_root_probabilities_sum_to_one():
     rng = np.random.default_rng(2)
-    count = rng.integers(1, 40, 30)
-    known = {"d": 0.7, "d0": 0.6, "theta": 1.0, "theta0": 1.0, "base": 1 / 31, "all": 0, "all0": 0}
-    tables = lm.seat(count, np.full(30, 1 / 31), 10, 0.7, 1.0, rng)
-    assert (tables >= 1).all() and (tables <= count).all()
-    tables0 = lm.seat(tables, np.full(30, 1 / 31), 10, 0.6, 1.0, rng)
-    known |= {"all": int(tables.sum()), "all0": int(tables0.sum())}
-    parent = np.append(lm.parent_probability(tables, tables0, known), lm.parent_probability(np.zeros(1), np.zeros(1), known))
-    assert parent.sum() == pytest.approx(1)
-    p = (np.append(np.maximum(count - 0.7 * tables, 0), 0) + (1 + 0.7 * tables.sum()) * parent) / (1 + count.sum())
-    assert p.sum() == pytest.approx(1)
+    customers = rng.integers(1, 40, 30)
+    tables = np.minimum(customers, rng.integers(1, 40, 30))
+    known = {"d0": 0.6, "theta0": 1.0, "base": 1 / 31, "all": int(customers.sum()), "all0": int(tables.sum())}
+    assert lm.root_probability(np.append(customers, 0), np.append(tables, 0), known).sum() == pytest.approx(1)
 
 
 # --- 4 -------------------------------------------------------------------------------------------
