@@ -5,6 +5,8 @@ Sums of money go through exact decimals, so that results do not depend on the or
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -44,6 +46,8 @@ def rows(name: str, table: str, oracle: str):
     return add
 
 
+#: The test tables.
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 SUM = "CAST(SUM(CAST({0} AS DECIMAL(18,2))) AS DOUBLE)"
 AVG = "CAST(SUM(CAST({0} AS DECIMAL(18,2))) AS DOUBLE) / COUNT({0})"
 
@@ -335,7 +339,8 @@ def bitmap_or_count(df):
 
 @rows("bitmap_and_count", "orders", "SELECT COUNT(*) AS n FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT'")
 def bitmap_and_count(df):
-    return df.where(all_of(where("o_orderstatus", "=", "F"), where("o_orderpriority", "=", "1-URGENT")).expression()).agg(F.count("*").alias("n"))
+    of = lambda column, value: formats.bitmap_index(df, column, "o_orderkey").where(F.col("value") == value)
+    return formats.bitmap_and_count(of("o_orderstatus", "F"), of("o_orderpriority", "1-URGENT"))
 
 
 @rows("lsm_latest_version", "events", "SELECT user_id, event_id, event_type FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) t WHERE rn = 1 AND event_type <> 'error'")
@@ -354,8 +359,14 @@ def index_advice(spark, sf_dir):
 
 @register("bucketed_join", "SELECT c_nationkey, COUNT(*) AS n FROM customer JOIN orders ON c_custkey = o_custkey GROUP BY c_nationkey")
 def bucketed_join(spark, sf_dir):
+    """Both tables written in 8 buckets of the key: the join has no shuffle of them."""
     e = Engine(spark, sf_dir)
-    return joins.join(e.table("orders"), e.table("customer"), F.expr("c_custkey = o_custkey"), strategy="merge").groupBy("c_nationkey").agg(F.count("*").alias("n"))
+    made = []
+    for table, key in (("customer", "c_custkey"), ("orders", "o_custkey")):
+        name = f"basalt_{table}_{uuid.uuid4().hex}"
+        made.append(formats.write_bucketed(e.table(table), name, workspace(spark, name), 8, [key]))
+    customer, orders = map(spark.table, made)
+    return joins.join(orders, customer, F.expr("c_custkey = o_custkey"), strategy="merge").groupBy("c_nationkey").agg(F.count("*").alias("n"))
 
 
 # --- cache, profile --------------------------------------------------------------------------------
@@ -391,7 +402,7 @@ def window_rank(df):
 
 statement("window_running_total", "SELECT o_orderkey, CAST(SUM(CAST(o_totalprice AS DECIMAL(18,2))) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DOUBLE) AS running FROM orders")
 statement("cte_filter", "WITH big AS (SELECT o_custkey, COUNT(*) AS n FROM orders WHERE o_totalprice > 150000 GROUP BY o_custkey) SELECT c_name, n FROM customer JOIN big ON c_custkey = o_custkey WHERE n >= 3")
-statement("union_intersect_except", "SELECT c_nationkey AS k FROM customer WHERE c_acctbal > 9000 UNION SELECT s_nationkey FROM supplier")
+statement("union_intersect_except", "(SELECT c_nationkey AS k FROM customer WHERE c_acctbal > 9000 UNION SELECT s_nationkey FROM supplier) INTERSECT SELECT n_nationkey FROM nation WHERE n_regionkey < 3 EXCEPT SELECT s_nationkey FROM supplier WHERE s_acctbal < -500")
 statement("intersect_rows", "SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier")
 statement("except_rows", "SELECT n_nationkey AS k FROM nation EXCEPT SELECT s_nationkey FROM supplier")
 

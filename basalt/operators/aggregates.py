@@ -13,6 +13,9 @@ FUNCTIONS = {
     "max": F.max,
     "count_distinct": F.countDistinct,
     "try_sum": F.try_sum,
+    "stddev": F.stddev_samp,
+    "variance": F.var_samp,
+    "median": F.median,
 }
 
 

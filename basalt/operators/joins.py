@@ -34,6 +34,25 @@ def range_join(left: DataFrame, right: DataFrame, point: str, low: str, high: st
     return keyed.join(spread, "_bucket").where((F.col(point) >= F.col(low)) & (F.col(point) < F.col(high))).drop("_bucket")
 
 
+def interval_join(left: DataFrame, right: DataFrame, low: str, high: str, other_low: str, other_high: str, width: float) -> DataFrame:
+    """Inner join of half-open intervals that overlap, by equal buckets of ``width``; a pair is made in the first bucket both meet."""
+    bucket = lambda c: F.floor(F.col(c) / F.lit(width))
+    one = left.where(F.col(low) < F.col(high)).withColumn("_bucket", F.explode(F.sequence(bucket(low), bucket(high))))
+    two = right.where(F.col(other_low) < F.col(other_high)).withColumn("_bucket", F.explode(F.sequence(bucket(other_low), bucket(other_high))))
+    meet = (F.col(low) < F.col(other_high)) & (F.col(other_low) < F.col(high))
+    first = F.col("_bucket") == F.greatest(bucket(low), bucket(other_low))
+    return one.join(two, "_bucket").where(meet & first).drop("_bucket")
+
+
+def join_statistics(left: DataFrame, right: DataFrame, key: str, other: str) -> DataFrame:
+    """left_rows, right_rows, matched_rows and matched_keys of an equi-join, from counts by key: no joined row is made."""
+    one = left.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.count("*").alias("a"))
+    two = right.where(F.col(other).isNotNull()).groupBy(F.col(other).alias("k")).agg(F.count("*").alias("b"))
+    met = F.coalesce(F.col("a"), F.lit(0)) * F.coalesce(F.col("b"), F.lit(0))
+    zero = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    return one.join(two, "k", "full").agg(zero("a").alias("left_rows"), zero("b").alias("right_rows"), zero(met).alias("matched_rows"), zero((met > 0).cast("long")).alias("matched_keys"))
+
+
 def asof_join(left: DataFrame, right: DataFrame, key: str, time: str, value: str, alias: str) -> DataFrame:
     """Each left row with the right side's latest ``value`` at or before its ``time``, by one union and one window."""
     from pyspark.sql import Window

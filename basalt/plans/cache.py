@@ -20,8 +20,10 @@ class Entry:
 class ResultCache:
     """Keeps DataFrames persisted; the key is the plan's semantic hash and the versions of its tables."""
 
-    def __init__(self, ttl: float = 1800, most: int = 100, clock: Callable[[], float] = time.monotonic):
-        self.ttl, self.most, self.clock = ttl, most, clock
+    def __init__(self, ttl: float = 1800, most: int = 100, clock: Callable[[], float] = time.monotonic, promote_after: int = 1):
+        """``promote_after``: a plan is kept from so many accesses on; before, it is only counted."""
+        self.ttl, self.most, self.clock, self.promote_after = ttl, most, clock, promote_after
+        self.accesses: dict[tuple, int] = {}
         self.entries: OrderedDict[tuple, Entry] = OrderedDict()
         self.hits = self.misses = self.evictions = 0
         self.versions: dict[str, int] = {}
@@ -39,6 +41,10 @@ class ResultCache:
             self.entries.move_to_end(key)
             return self.entries[key].df
         self.misses += 1
+        self.accesses[key] = self.accesses.get(key, 0) + 1
+        if self.accesses[key] < self.promote_after:
+            return df
+        self.accesses.pop(key)
         self.entries[key] = Entry(df.persist(), tables, self.clock())
         while len(self.entries) > self.most:
             self._drop(next(iter(self.entries)))

@@ -26,7 +26,7 @@ def register(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
-    from . import catalog_queries  # noqa: F401  fills the registry
+    from . import catalog_more, catalog_queries  # noqa: F401  fill the registry
 
     return dict(_QUERIES)
 

@@ -9,8 +9,12 @@ from pyspark.sql import SparkSession
 
 
 def workspace(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that the cluster shares; a temporary folder only where none is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="basalt-")
+    """A new path in the folder that the cluster shares; a temporary folder only where none is set and the master is local."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir is not set: written tables need a folder that the cluster shares")
+        root = tempfile.mkdtemp(prefix="basalt-")
     return f"{root.rstrip('/')}/basalt-{name}-{uuid.uuid4().hex}"
 
 

@@ -143,7 +143,7 @@ def test_cache(spark):
 
 def test_profile_and_advice(spark):
     df = spark.createDataFrame([(i, 1000 + 5 * i) for i in range(100)], "i long, v long")
-    r = profile.column_profile(df, "v", ["i"]).first()
+    r = profile.column_profile(df.withColumn("g", F.lit(1)), "v", ["i"], ["g"]).first()
     assert tuple(r) == (100, 100, 100, 5, 5)
     assert profile.codec_advice("bigint", 100, 100, True) == "delta"
     assert profile.codec_advice("string", 200, 5, False) == "dictionary"

@@ -7,7 +7,7 @@ import duckdb
 import pytest
 
 from basalt import registry
-from basalt.engine import TABLES
+from basalt.catalog_queries import TABLES
 
 FOLDER = "/root/testdata/sf0.001"
 
