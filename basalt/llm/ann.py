@@ -4,11 +4,14 @@ Equal vectors form one class, which keeps its few smallest ids: no result can ne
 vector that is very common costs one node. Classes are dealt to shards by hash. In a shard each node
 is inserted by a greedy search from the medoid; of what it meets, relaxed distance pruning keeps
 diverse edges (a neighbour goes if a kept one is ``relax`` times nearer to it than the node is), and
-reverse edges are pruned likewise. Queries, in blocks of distinct vectors, are searched in every
-shard by a beam; the best of all shards are merged by exact cosine in double precision.
+reverse edges are pruned likewise. Queries, as distinct vectors, are searched in every shard by a beam;
+the best of all shards are merged by exact cosine in double precision.
 
-Shards hold about 1/64 of the classes, within 1,024 and 65,536, so a task's memory is bounded and
-work grows about as the input. Every vector is indexed.
+Shards hold about 1/64 of the classes, within 1,024 and 65,536, so a task's memory is bounded. A shard's
+index lies in rows of at most ``CELL`` bytes in a bucketed table, which searches read in place. Queries
+come in blocks of about ``block_bytes`` of vectors: a block is broadcast, so no vector is copied for each
+shard in a shuffle; what the shards find is cut to the best by two levels of aggregation. Every vector is
+indexed, and every query is searched in every shard: the number of searches is queries times shards.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components, and rows without
 an id, take no part; vectors of different lengths are never compared; rows equal in id and vector
@@ -17,6 +20,7 @@ count once; a row is never its own neighbour, nor is another with its id. An emp
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +33,7 @@ from . import kernels as K
 from .scratch import Scratch, plain
 
 DEGREE, BEAM, WIDE, CLASSES = 24, 48, 64, 10
+CELL = 8 << 20
 
 
 def beam_search(x: np.ndarray, graph: np.ndarray, entry: int, queries: np.ndarray, beam: int, width: int = 3) -> tuple[np.ndarray, np.ndarray]:
@@ -144,61 +149,87 @@ def _classes(query_step: int, ids_kept: int):
     return run
 
 
+INDEX = "size int, shard int, part int, entry long, vectors binary, graph binary, ids binary, counts binary"
+
+
 def _index(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     rows = rows.sort_values("vec")
     vectors = np.frombuffer(b"".join(rows["vec"]), np.float64).reshape(len(rows), -1)
     graph, entry = build(_unit(vectors))
-    flat = [int(i) for ids in rows["ids"] for i in ids]
-    sizes = [len(ids) for ids in rows["ids"]]
-    return pd.DataFrame({"size": [key[0]], "shard": [key[1]], "entry": [entry], "vectors": [vectors.tobytes()], "graph": [graph.astype(np.int32).tobytes()], "ids": [np.array(flat, np.int64).tobytes()], "counts": [np.array(sizes, np.int32).tobytes()]})
-
-
-def _search(key: tuple, index: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-    out: dict[str, list] = {"vec": [], "found": []}
-    if len(index) and len(queries):
-        g = index.iloc[0]
-        width = int(key[0]) // 8
-        vectors = np.frombuffer(g["vectors"], np.float64).reshape(-1, width)
-        graph = np.frombuffer(g["graph"], np.int32).reshape(len(vectors), -1).astype(np.int64)
-        counts = np.frombuffer(g["counts"], np.int32)
-        ends = np.concatenate([[0], np.cumsum(counts)])
-        ids, unit, norm = np.frombuffer(g["ids"], np.int64), _unit(vectors), np.linalg.norm(vectors, axis=1)
-        asked = queries["vec"].tolist()
-        q = np.frombuffer(b"".join(asked), np.float64).reshape(len(asked), -1)
-        for at in range(0, len(q), 256):
-            part = q[at : at + 256]
-            near, _ = beam_search(unit, graph, int(g["entry"]), _unit(part), WIDE)
-            for i, v in enumerate(part):
-                nodes = near[i][near[i] >= 0][: 2 * CLASSES]
-                exact = (vectors[nodes] @ v) / (norm[nodes] * np.linalg.norm(v))
-                best = np.lexsort((ids[ends[nodes]], -exact))[:CLASSES]
-                out["vec"].append(asked[at + i])
-                out["found"].append([{"far": float(-exact[b]), "id": int(c)} for b in best for c in ids[ends[nodes[b]] : ends[nodes[b] + 1]]])
-    return pd.DataFrame({name: pd.Series(column, dtype=object) for name, column in out.items()})
-
-
-def search(embeddings: DataFrame, scratch: Scratch, query_step: int = 50, k: int = 5, block: int = 4096) -> DataFrame:
+    ids, step = rows["ids"].tolist(), max(1, CELL // (vectors.itemsize * vectors.shape[1]))
+    out = []
+    for part, x in enumerate(range(0, len(rows), step)):
+        own = ids[x : x + step]
+        flat = np.array([int(i) for some in own for i in some], np.int64)
+        out.append((key[0], key[1], part, entry, vectors[x : x + step].tobytes(), graph[x : x + step].astype(np.int32).tobytes(), flat.tobytes(), np.array([len(some) for some in own], np.int32).tobytes()))
+    return pd.DataFrame(out, columns=[c.split()[0] for c in INDEX.split(", ")])
+
+
+FOUND = "q long, part int, found array<struct<far: double, id: long>>"
+
+
+def _search(sent):
+    def run(key: tuple, index: pd.DataFrame) -> pd.DataFrame:
+        out: dict[str, list] = {"q": [], "part": [], "found": []}
+        for size, rows in index.groupby("size"):
+            if size not in sent.value:
+                continue
+            rows = rows.sort_values("part")
+            numbers, q = sent.value[size]
+            joined = lambda c, kind: np.frombuffer(b"".join(rows[c]), kind)  # noqa: B023, E731
+            vectors = joined("vectors", np.float64).reshape(-1, size // 8)
+            graph, counts, ids = joined("graph", np.int32).reshape(len(vectors), -1).astype(np.int64), joined("counts", np.int32), joined("ids", np.int64)
+            ends = np.concatenate([[0], np.cumsum(counts)])
+            unit, norm = _unit(vectors), np.linalg.norm(vectors, axis=1)
+            for at in range(0, len(q), 256):
+                part = q[at : at + 256]
+                near, _ = beam_search(unit, graph, int(rows["entry"].iloc[0]), _unit(part), WIDE)
+                for i, v in enumerate(part):
+                    nodes = near[i][near[i] >= 0][: 2 * CLASSES]
+                    exact = (vectors[nodes] @ v) / (norm[nodes] * np.linalg.norm(v))
+                    best = np.lexsort((ids[ends[nodes]], -exact))[:CLASSES]
+                    out["q"].append(int(numbers[at + i]))
+                    out["part"].append(int(key[0]) % 64)
+                    out["found"].append([{"far": float(-exact[b]), "id": int(c)} for b in best for c in ids[ends[nodes[b]] : ends[nodes[b] + 1]]])
+        return pd.DataFrame({name: pd.Series(column, dtype=object) for name, column in out.items()})
+
+    return run
+
+
+def search(embeddings: DataFrame, scratch: Scratch, query_step: int = 50, k: int = 5, block_bytes: int = 32 << 20, least_shard: int = 1024) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k nearest found of each row whose vec_id is divisible by ``query_step``."""
+    spark = embeddings.sparkSession
     rows = plain(embeddings, vec_id="long", embedding="array<double>").where("vec_id is not null and size(embedding) > 0")
     read = scratch.table(rows.mapInArrow(_classes(query_step, k + 1), "vec binary, query_id long, ids array<long>"), "vectors")
     ids = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, k + 1).alias("ids")
     size = F.octet_length("vec").alias("size")
     classes = scratch.table(read.where("ids is not null").groupBy("vec").agg(ids).select("vec", "ids", size), "classes")
     n = max(1, classes.count())
-    shards = -(-n // min(65_536, max(1024, n // 64)))
+    shards = -(-n // min(65_536, max(least_shard, n // 64)))
+    files, name = min(shards, 16_384), f"basalt_index_{uuid.uuid4().hex}"
     dealt = classes.withColumn("shard", F.pmod(F.xxhash64("vec"), F.lit(shards)).cast("int"))
-    index = dealt.groupBy("size", "shard").applyInPandas(_index, "size int, shard int, entry long, vectors binary, graph binary, ids binary, counts binary")
-    index = scratch.table(index, "index")
-
     asked = read.where("query_id is not null").select("vec", "query_id").distinct()
-    single = scratch.table(asked.select("vec").distinct().withColumn("size", size), "queries")
-    blocks = -(-max(1, single.count()) // block)
-    single = single.withColumn("block", F.pmod(F.xxhash64(F.lit(1), "vec"), F.lit(blocks)).cast("int"))
-    single = single.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    pairs = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    keys = ["size", "shard", "block"]
-    found = pairs.groupBy(*keys).cogroup(single.groupBy(*keys)).applyInPandas(_search, "vec binary, found array<struct<far: double, id: long>>")
-    best = found.groupBy("vec").agg(F.slice(F.array_sort(F.flatten(F.collect_list("found"))), 1, 6 * CLASSES).alias("found"))
+    # Numbers are fixed once written.
+    single = scratch.table(asked.select("vec").distinct().select("vec", size, F.monotonically_increasing_id().alias("q")), "queries")
+    blocks = -(-(single.agg(F.sum("size")).first()[0] or 1) // block_bytes)
+    keep = F.slice(F.array_sort(F.flatten(F.collect_list("found"))), 1, (k + 1) * CLASSES).alias("found")
+    best = None
+    try:
+        index = scratch.bucketed(dealt.groupBy("size", "shard").applyInPandas(_index, INDEX).repartition(files, "shard"), "index", name, files, "shard")
+        for b in range(blocks):
+            block: dict[int, tuple[list, list]] = {}
+            for r in single.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == b).collect():
+                numbers, vectors = block.setdefault(r["size"], ([], []))
+                numbers.append(r["q"])
+                vectors.append(bytes(r["vec"]))
+            sent = spark.sparkContext.broadcast({s: (np.array(q), np.frombuffer(b"".join(v), np.float64).reshape(len(q), -1)) for s, (q, v) in block.items()})
+            found = index.groupBy("shard").applyInPandas(_search(sent), FOUND)
+            best = scratch.append(found.groupBy("q", "part").agg(keep).groupBy("q").agg(keep), "best")
+            sent.unpersist()
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
     own = F.slice(F.filter("found", lambda x: x["id"] != F.col("query_id")), 1, k)
-    near = asked.join(scratch.table(best, "best"), "vec").select("query_id", F.posexplode(own).alias("at", "x"))
-    return near.select("query_id", (F.col("at") + 1).alias("rank"), F.col("x.id").alias("vec_id"), (-F.col("x.far")).alias("score"))
+    near = asked.join(single.select("vec", "q"), "vec").select("query_id", "q").join(best, "q").select("query_id", F.posexplode(own).alias("at", "x"))
+    out = scratch.table(near.select("query_id", (F.col("at") + 1).alias("rank"), F.col("x.id").alias("vec_id"), (-F.col("x.far")).alias("score")), "neighbours")
+    scratch.drop("vectors", "classes", "index", "queries", "best")
+    return out

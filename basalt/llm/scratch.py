@@ -40,6 +40,12 @@ class Scratch:
         self._write(lambda: df.write.mode("overwrite").parquet(path))
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def append(self, df: DataFrame, name: str) -> DataFrame:
+        """Add rows to a table and read all of it."""
+        path = f"{self.root}/{name}"
+        self._write(lambda: df.write.mode("append").parquet(path))
+        return self.spark.read.schema(df.schema).parquet(path)
+
     def bucketed(self, df: DataFrame, name: str, table: str, buckets: int, key: str) -> DataFrame:
         """Write as a bucketed table ``table``, to be dropped by the caller: groups by ``key`` need no shuffle."""
         path = f"{self.root}/{name}"

@@ -537,6 +537,9 @@ def test_neighbours(spark, scratch):
         got = [r.vec_id for r in sorted((r for r in out if r.query_id == q), key=lambda r: r.rank)]
         hit += len(set(want) & set(got))
     assert hit >= 0.9 * 150 and {r.query_id for r in out} == set(range(0, 1500, 50))
+    small = rows(ann.search(df, Scratch(spark), block_bytes=1000, least_shard=100))  # blocks of a few queries, a dozen shards
+    right = sum(len({r.vec_id for r in out if r.query_id == q} & {r[2] for r in small if r[0] == q}) for q in range(0, 1500, 50))
+    assert len(small) == len(out) and right >= 0.9 * 150
     assert [r.vec_id for r in sorted((r for r in out if r.query_id == 50), key=lambda r: r.rank)] == [100, 101, 102, 103, 104]
     assert ann.search(df.limit(0), scratch).count() == 0
 
