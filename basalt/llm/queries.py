@@ -36,8 +36,8 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_chat_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = chat.transcript_pieces(table(spark, sf_dir, "conversations"))
-    return chat.format_turns(pieces, Scratch(spark))
+    conversations = table(spark, sf_dir, "conversations")
+    return chat.format_turns(chat.transcript_pieces(conversations), Scratch(spark), model=chat.fit(conversations))
 
 
 def op6_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:

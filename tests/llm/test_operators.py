@@ -416,6 +416,57 @@ def test_transcripts():
     assert chat.turns("") == chat.turns(None) == []
 
 
+def test_names_and_missing_markers():
+    assert chat.turns("Alice: What is it?\nBob: A stone.\nAlice: Why so?\nBob: It fell.") == [("user", "What is it?"), ("assistant", "A stone."), ("user", "Why so?"), ("assistant", "It fell.")]
+    assert chat.turns("User: Look\nNote: this is mine\nAssistant: Seen.") == [("user", "Look\nNote: this is mine"), ("assistant", "Seen.")]
+
+
+def damaged(turns, how, rng):
+    """Lines of a conversation under varied, renamed, partly dropped or no markers, and the role of each."""
+    names = {"user": ("User: ", "Human: ", "Q: ", "### Human\n", "<|user|> ", "[user] "), "assistant": ("Assistant: ", "AI: ", "A: ", "### Assistant\n", "<|assistant|> ", "[assistant] "), "system": ("System: ", "system: ", "[system] ", "### System\n", "<|system|> ", "[system] ")}
+    kind, text, roles = int(rng.integers(6)), [], []
+    for role, content in turns:
+        mark = {"varied": names[role][int(rng.integers(6))], "one": names[role][kind], "names": {"user": "Alice: ", "assistant": "Bob: ", "system": ""}[role], "none": ""}.get(how, names[role][kind] if rng.random() < 0.8 else "")
+        part = mark + content
+        text.append(part)
+        roles += [role] * len(part.split("\n"))
+    return "\n".join(text), roles
+
+
+def roles_of_lines(text, model):
+    lines = text.split("\n")
+    seen = [chat.emissions(x, model)[0] for x in lines]
+    return [chat.ROLES[s % 6 // 2] for s in chat.decode(seen, np.full(chat.STATES, -np.inf), None, model)]
+
+
+def test_roles_under_damaged_markers(spark):
+    """Accuracy by line; what the figures in the README are from."""
+    table = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")
+    model = chat.fit(table)
+    assert np.exp(model.step[0, :6]).sum() == pytest.approx(1) and np.exp(model.start).sum() == pytest.approx(1)
+    by = {}
+    for r in table.orderBy("conv_id", "turn").collect():
+        by.setdefault(r.conv_id, []).append((r.role.strip().lower(), r.text))
+    rng, score = np.random.default_rng(3), {}
+    for how in ("one", "varied", "names", "dropped", "none"):
+        hits = []
+        for own in by.values():
+            if all(role in chat.ROLES for role, _ in own):
+                text, want = damaged(own, how, rng)
+                hits += [a == b for a, b in zip(roles_of_lines(text, model), want, strict=True)]
+        score[how] = float(np.mean(hits))
+    print(score)
+    assert score["one"] > 0.99 and score["varied"] > 0.99 and score["names"] > 0.9 and score["dropped"] > 0.85, score  # without any markers it is a guess
+
+
+def test_repeated_and_long_transcripts(spark, scratch):
+    odd = [(1, 0, "user", "a"), (1, 0, "user", "a"), (2, 0, "user", "word\n" * 20_000), (2, 1, "assistant", ""), (3, None, "user", "x"), (3, None, "assistant", "y")]
+    df = cluttered(spark.createDataFrame(odd, "conv_id long, turn long, role string, text string"))
+    out = rows(chat.format_turns(chat.transcript_pieces(df), scratch, model=chat.fit(df)))
+    assert [r[:3] for r in out] == [(1, 0, "user"), (1, 1, "user"), (2, 0, "user"), (2, 1, "assistant"), (3, 0, "assistant"), (3, 1, "user")]
+    assert chat.fit(df.limit(0)).step.shape == (18, 18)
+
+
 def test_pieces_decode_like_a_whole(spark, scratch):
     roles = [("user", "What is it?"), (None, "and more"), ("assistant", "This.\nThat."), ("human", "ok"), ("nobody", "zz")] * 30
     df = spark.createDataFrame([(7, i, r, t, "x") for i, (r, t) in enumerate(roles)] + [(8, 0, "assistant", None, "x"), (None, None, "user", "q", "x"), (9, 1, None, None, "x")], "conv_id long, turn long, role string, text string, piece string")
