@@ -1,13 +1,23 @@
 """The pipeline's stages on awkward rows, and together."""
 
+import re
+
 import corpus_pipeline
 from pyspark.sql import functions as F
 
+from basalt.llm import quality
+
 from .cases import KINDS, awkward, cluttered, empty, passage
+from .test_operators import jaccard_classes, matches, plain_spans
 
 SF = "/root/testdata/sf0.001"
 
 
+def words_of(text):
+    """Decontamination's tokens: letters and digits of ASCII and all other characters beyond it, A-Z lowered."""
+    return re.findall(r"[a-z0-9\x80-\U0010ffff]+", re.sub("[A-Z]", lambda m: m.group().lower(), text or ""))
+
+
 def test_stages_keep_columns_and_clean_rows(spark):
     odd = cluttered(awkward(spark))
     for name, stage in corpus_pipeline.STAGES[:-1]:
@@ -29,6 +39,35 @@ def test_decisions_take_effect(spark):
     assert kept.where("doc_id = 4").first().text.endswith("[EMAIL]")
 
 
+def test_stages_are_those_of_brute_force(spark, tmp_path):
+    """Each stage on its own input, the 200 test documents and what is left of them."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    items = [words_of(r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before = {r.doc_id: r for r in docs.collect()}
+        docs = stage(spark, docs, SF)
+        docs.write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        after = {r.doc_id: r for r in docs.collect()}
+        if name == "quality":
+            scored = quality.score(spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet"))
+            assert set(after) == {r.doc_id for r in scored.collect() if r.score >= 0.5}
+        elif name == "near_duplicates":
+            groups = jaccard_classes([(i, r.text) for i, r in before.items()])
+            assert set(after) == {least for _, least, _, _ in groups}
+        elif name == "decontamination":
+            assert set(after) == {i for i, r in before.items() if not any(matches(words_of(r.text), item) for item in items)}
+        else:
+            for i, r in before.items():
+                left, k = after[i].text, 0
+                for a, kind, b in plain_spans(r.text or ""):
+                    assert r.text[a:b] not in left or r.text.count(r.text[a:b]) > 1, (i, kind)
+                    k += 1
+                assert (left == r.text) if not k and "[" not in left else True
+                assert after[i].n_chars == (None if left is None else len(left))
+        assert all(after[i] == before[i] for i in after) or name == "personal_data"
+
+
 def test_whole_run(spark):
     out = corpus_pipeline.run(spark, SF)
     assert out.columns == ["doc_id", "size", "source_size", "target", "taken"]
