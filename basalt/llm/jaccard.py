@@ -232,14 +232,15 @@ def _blocks(shingle: int, threshold: float, tolerance: float):
         held: list[tuple] = []
         size = 0
         for batch in batches:
-            c = [batch.column(k).to_pylist() for k in range(batch.num_columns)]
-            for band, key, low, high, part, cls, copies, sig, z in zip(*c, strict=True):
-                block = (band, key, low, high)
-                if size > 4 * K.CHUNK and held[-1][0] != block:
-                    yield solve(held)
-                    held, size = [], 0
-                held.append((block, cls, part, copies, sig, z))
-                size += len(z) * 3 + 400
+            for at in range(0, batch.num_rows, 256):  # Python objects of a few rows at a time
+                c = [x.to_pylist() for x in batch.slice(at, 256).columns]
+                for band, key, low, high, part, cls, copies, sig, z in zip(*c, strict=True):
+                    block = (band, key, low, high)
+                    if size > 2 * K.CHUNK and held[-1][0] != block:
+                        yield solve(held)
+                        held, size = [], 0
+                    held.append((block, cls, part, copies, sig, z))
+                    size += len(z) * 3 + 400
         if held:
             yield solve(held)
 

@@ -790,3 +790,25 @@ def test_components(spark, scratch):
     assert got == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 140)} | {300: 299, 299: 299}
     assert components(spark.createDataFrame([], "u long, v long"), scratch).count() == 0
     assert len(LONG) > 100_000
+
+
+def test_a_large_group_of_near_copies_loses_no_link(spark):
+    """3,000 different texts of one group, as one block and in chunks, against counts of shared shingles."""
+    base, rng = passage(77, 90).split(), np.random.default_rng(9)
+    texts = []
+    for k in range(3000):
+        w = list(base)
+        for p in rng.integers(0, 90, int(rng.integers(0, 3))):
+            w[int(p)] = f"e{k}x{p}"
+        texts.append(" ".join(w))
+    texts = sorted(set(texts))
+    sets = jaccard.K.shingle_sets(jaccard.K.words(np.frombuffer("\n".join(texts).encode(), np.uint8), np.cumsum([0, *[len(t) + 1 for t in texts]])[:-1].tolist() + [len("\n".join(texts))]))
+    names, at = np.unique(np.concatenate(sets), return_inverse=True)
+    has = np.zeros((len(texts), len(names)), np.float32)
+    size = np.array([len(x) for x in sets])
+    has[np.repeat(np.arange(len(texts)), size), at] = 1
+    both = has @ has.T
+    want = (both >= 0.8 * (size[:, None] + size[None] - both) - 1e-6).sum(1) - 1
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.n_links for r in jaccard.jaccard_join(df, Scratch(spark)).collect()}
+    assert [got[i] for i in range(len(texts))] == want.tolist()
