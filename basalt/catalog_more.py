@@ -184,7 +184,7 @@ def index_dispatch(spark, sf_dir):
     return spark.createDataFrame([(label, x.name if x else "scan") for label, x in chosen], "op string, used string")
 
 
-@register("index_statistics", "SELECT 'b' AS name, 'nation' AS table_name, 'btree' AS kind, 'n_regionkey' AS columns, COUNT(*) AS \"rows\", 1 AS uses FROM nation")
+@register("index_statistics", "SELECT 'b' AS name, 'nation' AS table_name, 'btree' AS kind, 'n_regionkey' AS columns, COUNT(*) AS \"rows\", CAST(1 AS BIGINT) AS uses FROM nation")
 def index_statistics(spark, sf_dir):
     nation, known = Engine(spark, sf_dir).table("nation"), Layouts(spark)
     known.create("b", "nation", nation, ["n_regionkey"])
@@ -245,7 +245,7 @@ statement("collected_list", "SELECT n_regionkey, ARRAY_JOIN(ARRAY_SORT(COLLECT_L
 statement("boolean_aggregates", "SELECT o_orderstatus, BOOL_AND(o_totalprice > 1000) AS every_one, BOOL_OR(o_totalprice > 300000) AS some_one FROM orders GROUP BY o_orderstatus")
 statement("scalar_subquery", "SELECT c_custkey FROM customer WHERE c_acctbal > (SELECT AVG(c_acctbal) FROM customer)")
 statement("recursive_cte", "WITH RECURSIVE t(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM t WHERE n < 20) SELECT n, n * n AS sq FROM t")
-statement("string_functions", "SELECT c_custkey, UPPER(c_name) AS u, LENGTH(c_name) AS n, SUBSTRING(c_name, 1, 4) AS s, CONCAT(c_mktsegment, '-', c_nationkey) AS c, REPLACE(c_name, '0', 'o') AS r, COALESCE(NULLIF(c_mktsegment, 'BUILDING'), '?') AS z FROM customer")
+statement("string_functions", "SELECT c_custkey, UPPER(c_name) AS u, CAST(LENGTH(c_name) AS BIGINT) AS n, SUBSTRING(c_name, 1, 4) AS s, CONCAT(c_mktsegment, '-', c_nationkey) AS c, REPLACE(c_name, '0', 'o') AS r, COALESCE(NULLIF(c_mktsegment, 'BUILDING'), '?') AS z FROM customer")
 statement("date_functions", "SELECT o_orderkey, EXTRACT(YEAR FROM o_orderdate) AS y, CAST(DATE_TRUNC('month', o_orderdate) AS DATE) AS m, CAST(o_orderdate AS DATE) + INTERVAL 3 DAY AS later FROM orders",
           "SELECT o_orderkey, CAST(EXTRACT(YEAR FROM o_orderdate) AS INTEGER) AS y, CAST(DATE_TRUNC('month', o_orderdate) AS DATE) AS m, CAST(CAST(o_orderdate AS DATE) + INTERVAL 3 DAY AS DATE) AS later FROM orders")
 statement("pivot_rows", "SELECT * FROM (SELECT o_orderstatus, o_orderpriority FROM orders) PIVOT (COUNT(*) FOR o_orderstatus IN ('F' AS f, 'O' AS o))",
