@@ -8,16 +8,17 @@ tables stay together; a context with more than a bucket's share of all tokens is
 by word, and its tables are added up apart. Only what the parent must know travels: the tables of each word
 in a bucket go to the word's home, which adds them up and seats the parent's customers.
 
-Seating is sampled by Gibbs. In each sweep and for each dish, ``REDRAWS`` customers drawn at random leave,
-one after another, and sit down again by the conditional of the seating of all others: at a table of the
-dish by its customers less the discount, or at a new one by (strength + discount * tables) * the parent's
-probability. The restaurant counts the dish's own tables as they are now; other dishes' tables and the
-parent's probabilities are those at the beginning of the sweep, as dishes are redrawn side by side. A
-dish's seating is kept as counts of tables by size, so a dish of very many customers takes as little room
-as it has different sizes. Seating begins at the expected numbers and sizes of tables. The parent's
-customers, which change with every sweep, are seated anew and redrawn likewise. Discounts follow from the
-numbers of counts one and two. Predictive probabilities are averaged over ``SAMPLES`` sweeps after the
-first ``BURN``. The sampler is seeded by bucket and sweep, so reruns agree.
+Seating is sampled by Gibbs, with every customer of every dish taking part in every sweep: the tables of a
+dish are drawn anew from their exact conditional, given those of the other dishes and the parent's
+probabilities of the sweep before. A restaurant first draws a weight, Gamma(strength / discount + its tables);
+given that weight its dishes are independent, and a dish of c customers has t tables with probability
+proportional to (discount * weight * parent's probability)^t times the generalised Stirling number of (c, t),
+so dishes are drawn side by side without holding any still (``draw_tables``). Table sizes do not enter the
+predictions and are not kept. Seating begins at the expected numbers of tables, and the first sweep repeats
+its draws until the numbers of tables settle. The parent's customers, which change with every sweep, are
+seated likewise. Discounts follow from the numbers of counts one and two. Predictive probabilities are
+averaged over ``SAMPLES`` sweeps after the first ``BURN``. The sampler is seeded by bucket and sweep, so
+reruns agree.
 
 Every bucket exchanges a message with the homes of its words in each sweep, so ``bucket_bytes`` should grow
 with the memory of a task: a tenth of the buckets have a hundredth of the messages.
@@ -32,9 +33,11 @@ probabilities uniform. An empty table gives no rows.
 
 from __future__ import annotations
 
+import math
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -46,8 +49,10 @@ from pyspark.sql import functions as F
 from . import kernels as K
 from .scratch import Scratch, plain
 
-SAMPLES, BURN, REDRAWS = 5, 2, 2
+SAMPLES, BURN = 5, 2
 FLUSH = 1_000_000
+#: Dishes of up to so many customers are drawn from listed weights, larger ones by rejection: the same distribution.
+LISTED, SLICE = 512, 1 << 18
 START, END = K.U(0x5D1E5A5A0F0F1234), K.U(0x1B873593CC9E2D51)
 
 
@@ -203,8 +208,158 @@ def _merge(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
 # --- seating -------------------------------------------------------------------------------------
 
 
+@lru_cache(maxsize=2)
+def _listed(d: float) -> np.ndarray:
+    """For c = 1.. LISTED and t = 1..c: the log of the chance of t tables among c customers of a Pitman-Yor
+    restaurant of discount d and strength 0, less that of (t - 1)!. Up to a factor of each c it is the
+    generalised Stirling number times discount^t."""
+    t = np.arange(1, LISTED + 1)
+    fact = np.concatenate([[0.0], np.cumsum(np.log(t[:-1]))])
+    row = np.full(LISTED, -np.inf)
+    row[0], out = 0.0, []
+    for c in range(1, LISTED + 1):
+        out.append(row[:c] - fact[:c])
+        if c < LISTED:
+            more = np.full(LISTED, -np.inf)
+            more[1 : c + 1] = row[:c] + np.log(d * t[:c] / c)
+            row[:c] += np.log1p(-d * t[:c] / c)
+            row = np.logaddexp(row, more)
+    return np.concatenate(out)
+
+
+def _bisect(above, low: np.ndarray, high: float) -> np.ndarray:
+    """Where a falling function of positive w is no longer above, by halving its logarithm."""
+    low = np.log(low)
+    high = np.full_like(low, np.log(high))
+    for _ in range(50):
+        mid = (low + high) / 2
+        up = above(np.exp(mid))
+        low, high = np.where(up, mid, low), np.where(up, high, mid)
+    return np.exp(low)
+
+
+def _pull(w: np.ndarray, d: float) -> np.ndarray:
+    """d u^(d - 1) (1 - u) at u = 1 - exp(-w)."""
+    return d * np.exp((d - 1) * np.log(-np.expm1(-w)) - w)
+
+
+def log_chance(c: np.ndarray, t: np.ndarray, d: float) -> np.ndarray:
+    """The log of the chance of t tables among c customers (discount d, strength 0), for more than LISTED customers.
+
+    It is c / (t d) times the coefficient of x^c in (1 - (1 - x)^d)^t, an integral of that power times
+    exp(c w) over x = exp(-w): along a parabola around the cut through the saddle point, or along the
+    circle through it where that is far from the cut. The sums of 64 points are good to 1e-5 and mostly to 1e-8.
+    """
+    c, t = c.astype(float), t.astype(float)
+    rest = lambda w: -np.expm1(d * np.log1p(-np.exp(-w)))  # noqa: E731  1 - u^d
+    w0 = _bisect(lambda w: t * _pull(w, d) > c * rest(w), 3 / c, 40.0)
+    far = w0 > 0.5
+    y = np.arange(64) / 63
+    e = np.exp(-w0)
+    slope = _pull(w0, d) / rest(w0)
+    spread = np.sqrt(np.maximum(t * slope * ((1 - d) * e / -np.expm1(-w0) + 1 - slope), 1e-12))  # the saddle's second derivative
+    reach = np.where(far, np.minimum(np.pi, 9 / spread), np.minimum(np.sqrt(18 / (c * w0 * (1 - d))), np.pi / 2 / w0))
+    y = y[None, :] * reach[:, None]
+    w = np.where(far[:, None], w0[:, None] + 1j * y, w0[:, None] * (1 + 1j * y) ** 2)
+    step = np.where(far[:, None], 1.0, 2 * w0[:, None] * (1 + 1j * y))  # of w by y, over i
+    log_u = np.where(far[:, None], np.log1p(-np.exp(-w)), np.log(-np.expm1(-w)))
+    power = t[:, None] * np.log(-np.expm1(d * log_u))
+    top = c * w0 + power[:, 0].real
+    near = (power[:, 0].real > -1)[:, None]  # without the constant 1, which adds nothing, so that nothing cancels
+    value = np.where(near, np.expm1(np.where(near, power, 0)), np.exp(power - power[:, :1].real))
+    value *= np.exp(1j * c[:, None] * w.imag + c[:, None] * (w.real - w0[:, None])) * step
+    value[:, [0, -1]] /= 2
+    area = value.real.sum(axis=1) * reach / 63 / np.pi
+    with np.errstate(invalid="ignore", divide="ignore"):
+        found = np.log(c / (t * d)) + np.log(area) + np.where(near[:, 0], c * w0, top)
+    return np.where(t == c, (c - 1) * np.log(d), found)
+
+
+def _draw_listed(count: np.ndarray, mean: np.ndarray, d: float, rng: np.random.Generator) -> np.ndarray:
+    weight, out = _listed(d), np.empty(len(count), np.int64)
+    ends, x = np.cumsum(count), 0
+    log_mean = np.log(mean)
+    while x < len(count):
+        y = max(x + 1, int(np.searchsorted(ends, ends[x] + SLICE, "right")))
+        c = count[x:y]
+        first = np.cumsum(c) - c
+        t = np.arange(int(c.sum())) - np.repeat(first, c)  # tables, less one
+        w = weight[np.repeat(c * (c - 1) // 2, c) + t] + t * np.repeat(log_mean[x:y], c)
+        w = np.cumsum(np.exp(w - np.repeat(np.maximum.reduceat(w, first), c)))
+        before = np.where(first > 0, w[first - 1], 0)
+        at = np.searchsorted(w, before + rng.random(len(c)) * (w[first + c - 1] - before), "right")
+        out[x:y] = np.clip(at - first, 0, c - 1) + 1
+        x = y
+    return out
+
+
+_log_gamma = np.frompyfunc(math.lgamma, 1, 1)
+
+
+def _draw_large(count: np.ndarray, mean: np.ndarray, d: float, rng: np.random.Generator) -> np.ndarray:
+    """By rejection: the chances of numbers of tables are log-concave, so a level about the likeliest and two geometric tails lie above them."""
+
+    def f(rows: np.ndarray, t: np.ndarray) -> np.ndarray:
+        return log_chance(count[rows], t, d) + (t - 1) * np.log(mean[rows]) - _log_gamma(t).astype(float)
+
+    every = np.arange(len(count))
+    w = _bisect(lambda w: mean * _pull(w, d) > count, np.full(len(count), 1e-300), 40.0)
+    top = np.clip(np.rint(-mean * np.expm1(d * np.log(-np.expm1(-w)))), 2, count - 1).astype(np.int64)
+    reach = np.ceil(np.sqrt(np.minimum(top, count - top))).astype(np.int64) + 1
+    peak = f(every, top)
+    low, high = np.zeros((2, len(count)), np.int64)
+    at_low, at_high, up, down = np.zeros((4, len(count)))
+    rows = every
+    while len(rows):
+        low[rows], high[rows] = np.maximum(top[rows] - reach[rows], 1), np.minimum(top[rows] + reach[rows], count[rows])
+        at_low[rows], at_high[rows] = f(rows, low[rows]), f(rows, high[rows])
+        up[rows] = np.where(low[rows] > 1, f(rows, low[rows] + 1) - at_low[rows], np.inf)
+        down[rows] = np.where(high[rows] < count[rows], f(rows, high[rows] - 1) - at_high[rows], np.inf)
+        rows = rows[(up[rows] < 1e-9) | (down[rows] < 1e-9)]
+        reach[rows] *= 2
+    rise, fall = peak - f(every, top - 1), peak - f(every, top + 1)
+    level = peak + np.maximum(0, np.maximum(rise * (high - top), fall * (top - low)))
+    most = np.maximum(level, np.maximum(at_low, at_high))
+    shares = np.cumsum([np.exp(level - most) * (high - low - 1), np.exp(at_low - most) / -np.expm1(-up), np.exp(at_high - most) / -np.expm1(-down)], axis=0)
+    out, rows = np.zeros(len(count), np.int64), every
+    while len(rows):
+        which = (rng.random(len(rows)) * shares[2, rows] >= shares[:2, rows]).sum(axis=0)
+        more = lambda slope: np.minimum(-np.log1p(-rng.random(len(rows))) / slope[rows], 1e18).astype(np.int64)  # noqa: B023, E731
+        left, right = more(up), more(down)
+        inner = low[rows] + 1 + (rng.random(len(rows)) * (high[rows] - low[rows] - 1)).astype(np.int64)
+        t = np.choose(which, [inner, low[rows] - left, high[rows] + right])
+        bound = np.choose(which, [level[rows], at_low[rows] - left * np.where(left, up[rows], 0), at_high[rows] - right * np.where(right, down[rows], 0)])
+        good = np.flatnonzero((t >= 1) & (t <= count[rows]))
+        ok = good[np.log(1 - rng.random(len(good))) <= f(rows[good], t[good]) - bound[good]]
+        out[rows[ok]] = t[ok]
+        rows = rows[out[rows] == 0]
+    return out
+
+
+def draw_tables(count: np.ndarray, p: np.ndarray, weight: np.ndarray, d: float, rng: np.random.Generator) -> np.ndarray:
+    """Tables of dishes from their conditional: p, the parent's probability; weight, that of the restaurant (``draw_weight``)."""
+    mean, out = p * weight, np.ones(len(count), np.int64)
+    large = count > LISTED
+    some = np.flatnonzero(~large & (count > 1))
+    out[some] = _draw_listed(count[some], mean[some], d, rng)
+    large = np.flatnonzero(large)
+    for x in range(0, len(large), 256):
+        some = large[x : x + 256]
+        out[some] = _draw_large(count[some], mean[some], d, rng)
+    return out
+
+
+def draw_weight(tables: np.ndarray | int, d: float, theta: float, rng: np.random.Generator) -> np.ndarray:
+    """Given it, the dishes of a restaurant are independent: rising products of strength and discount as a mean over a gamma."""
+    return rng.gamma(theta / d + tables)
+
+
 class Tables:
-    """Seating of dishes: how many tables of each size a dish has, sorted by dish and size."""
+    """Seating of dishes by size: how many tables of each size a dish has, sorted by dish and size.
+
+    Sweeps take the expected seating from it (``begin``) and draw numbers of tables by ``draw_tables``;
+    ``redraw`` is the same conditional one customer at a time.
+    """
 
     def __init__(self, count: np.ndarray, dish: np.ndarray, size: np.ndarray, n: np.ndarray):
         self.count, self.dish, self.size, self.n = count.astype(np.int64), dish.astype(np.int64), size.astype(np.int64), n.astype(np.int64)
@@ -292,7 +447,7 @@ class Bucket:
     def __init__(self, number: int, blob: bytes, to: Deal):
         contexts, per, words, self.at, count = _unpack(blob, *MODEL)
         self.number, self.contexts, self.words = number, np.cumsum(contexts, dtype=K.U), np.cumsum(words, dtype=K.U)
-        self.of, self.count = np.repeat(np.arange(len(per)), per), count.astype(np.int64)
+        self.of, self.count = np.repeat(np.arange(len(per), dtype=np.uint32), per), count.astype(np.int64)
         self.hot = to.place(self.contexts)
         self.by_home = np.argsort(to.home(self.words), kind="stable")
         self.cuts = [(h, self.by_home[x:y]) for h, x, y in _runs(to.home(self.words)[self.by_home], to.buckets)]
@@ -316,10 +471,9 @@ class Bucket:
         out[self.many] = of_many
         return out
 
-    def around(self, tables: np.ndarray, known: np.ndarray | None = None) -> np.ndarray:
-        """Tables of each context's restaurant; known: those of the hot contexts, wherever they are."""
-        out = np.bincount(self.of, tables, len(self.contexts)).astype(np.int64)
-        return out if known is None else self.instead(known, out)
+    def around(self, tables: np.ndarray) -> np.ndarray:
+        """Tables of each context's restaurant, as far as they are in the bucket."""
+        return np.bincount(self.of, tables, len(self.contexts)).astype(np.int64)
 
     def instead(self, known: np.ndarray, own: np.ndarray) -> np.ndarray:
         """By context: what is known of the hot ones, the bucket's own of others."""
@@ -382,14 +536,16 @@ def _parent(s: int, known: dict | None, fixed: dict):
             customers[cut] += _unpack(by[b], np.int64)[0]  # a bucket names a word once
         rng = np.random.default_rng([s, int(key[0]), 31])
         many = np.flatnonzero(customers > 1)
-        before = known["all0"] if known else fixed["vocabulary"]
-        d0 = known["d0"] if known else 0.5
-        base = np.full(len(many), fixed["base"])
-        seats = Tables.begin(customers[many], (fixed["theta0"] + d0 * before) * base, d0, rng)
-        for _ in range(REDRAWS):
-            seats.redraw(base, np.maximum(before - seats.total(), 0), d0, fixed["theta0"], rng)
         tables = np.minimum(customers, 1)
-        tables[many] = seats.total()
+        base = np.full(len(many), fixed["base"])
+        if known:
+            tables[many] = draw_tables(customers[many], base, np.full(len(many), known["weight0"]), known["d0"], rng)
+        else:
+            d0, share = 0.5, fixed["vocabulary"] / max(1, np.count_nonzero(customers))  # the home's words stand for all
+            tables[many] = Tables.begin(customers[many], (fixed["theta0"] + d0 * fixed["vocabulary"]) * base, d0, rng).total()
+            for _ in _settling(lambda: int(tables.sum())):
+                weight = draw_weight(share * tables.sum(), d0, fixed["theta0"], rng)
+                tables[many] = draw_tables(customers[many], base, np.full(len(many), weight), d0, rng)
         ones, twos = (int(np.count_nonzero(customers == n)) for n in (1, 2))
         k = len(buckets)
         return pd.DataFrame({
@@ -400,7 +556,19 @@ def _parent(s: int, known: dict | None, fixed: dict):
     return run
 
 
-SEATS = (np.uint32, np.int64, np.int64, np.uint32, np.int64)
+def _settling(total) -> Iterator[None]:
+    """Draws until the total grows by less than a hundredth, 30 at most."""
+    before = total()
+    for _ in range(30):
+        yield
+        after = total()
+        if abs(after - before) * 100 < before:
+            return
+        before = after
+
+
+#: Tables of dishes with more than one customer, their sum over sampled sweeps; tables of contexts, sweep by sweep.
+SEATS = (np.uint32, np.uint32, np.int64)
 
 
 def _sweep(to: Deal, s: int, history: list[dict], fixed: dict, burn: int):
@@ -410,28 +578,27 @@ def _sweep(to: Deal, s: int, history: list[dict], fixed: dict, burn: int):
         b = Bucket(int(key[0]), model["blob"].iloc[0], to)
         rng = np.random.default_rng([s, b.number, 29])
         d, theta, count = fixed["d"], fixed["theta"], b.count[b.many]
+        of = b.of[b.many]
         if s == 1:
-            p = (b.spread(rows, 1)[0] + 1) / (fixed["n"] + fixed["vocabulary"] + 1)
-            around = b.around(b.tables(np.ones(len(b.many), np.int64)))
-            p = p[b.at[b.many]]
-            seats = Tables.begin(count, (theta + d * around[b.of[b.many]]) * p, d, rng)
+            p = ((b.spread(rows, 1)[0] + 1) / (fixed["n"] + fixed["vocabulary"] + 1))[b.at[b.many]]
+            parts = np.where(b.hot >= 0, np.append(to.parts, 1)[b.hot], 1)  # the bucket's words of a hot context stand for all
+            around = b.around(b.tables(np.ones(len(b.many), np.int64))) * parts
+            seated = Tables.begin(count, (theta + d * around[of]) * p, d, rng).total()
             summed, kept = np.zeros(len(b.many), np.int64), np.zeros(0, np.int64)
-            around = b.around(b.tables(seats.total()))
+            for _ in _settling(lambda: int(seated.sum())):
+                seated = draw_tables(count, p, draw_weight(b.around(b.tables(seated)) * parts, d, theta, rng)[of], d, rng)
         else:
             known = history[-1]
             p = root_probability(*b.spread(rows[rows["home"] >= 0], 2), known)[b.at[b.many]]
-            dish, size, n, summed, kept = _unpack(rows.loc[rows["home"] < 0, "blob"].iloc[0], *SEATS)
-            seats, summed = Tables(count, np.cumsum(dish.astype(np.int64)), size, n), summed.astype(np.int64)
-            around = b.around(b.tables(seats.total()), known["hot"])
-        others = around[b.of[b.many]] - seats.total()
-        for _ in range(REDRAWS):
-            seats.redraw(p, np.maximum(others, 0), d, theta, rng)
-        tables = b.tables(seats.total())
+            seated, summed, kept = (x.astype(np.int64) for x in _unpack(rows.loc[rows["home"] < 0, "blob"].iloc[0], *SEATS))
+            weight = b.instead(known["hot_weight"], draw_weight(b.around(b.tables(seated)), d, theta, rng))
+            seated = draw_tables(count, p, weight[of], d, rng)
+        tables = b.tables(seated)
         own = b.around(tables)
         if s > burn:
-            summed, kept = summed + seats.total(), np.concatenate([kept, own])
+            summed, kept = summed + seated, np.concatenate([kept, own])
         out = [(h, b.number, z, 0, 0, 0) for h, z in b.send(np.bincount(b.at, tables, len(b.words)))]
-        out.append((-1, b.number, _pack(np.diff(seats.dish, prepend=0).astype(np.uint32), seats.size, seats.n, summed.astype(np.uint32), kept), 0, 0, 0))
+        out.append((-1, b.number, _pack(seated.astype(np.uint32), summed.astype(np.uint32), kept), 0, 0, 0))
         return _sent([*out, (-2, b.number, b.of_hot(own), 0, 0, 0)])
 
     return run
@@ -483,7 +650,9 @@ def sample(model: DataFrame, to: Deal, scratch: Scratch, samples: int, burn: int
         last = scratch.table(replies, f"replies{s}")
         seats = scratch.table(sent.where("home = -1"), f"seats{s}")
         t = last.agg(*[F.sum(c).alias(c) for c in ("a", "b", "ones", "twos")]).first()
-        history.append(fixed | {"hot": _hot_sums(sent, h), "all": t["a"] or 0, "all0": t["b"] or 0, "d0": _discount(t["ones"] or 0, t["twos"] or 0)})
+        hot, all0, d0, rng = _hot_sums(sent, h), t["b"] or 0, _discount(t["ones"] or 0, t["twos"] or 0), np.random.default_rng([s, 37])
+        weights = {"weight0": draw_weight(all0, d0, fixed["theta0"], rng), "hot_weight": draw_weight(hot, fixed["d"], fixed["theta"], rng)}
+        history.append(fixed | weights | {"hot": hot, "all": t["a"] or 0, "all0": all0, "d0": d0})
         scratch.drop(f"sent{s}", *([f"seats{s - 1}"] if s > 1 else []), *([f"replies{s - 1}"] if 1 < s <= burn + 1 else []))
         if s > burn:
             heard.append(last)
@@ -534,21 +703,25 @@ def _answer(sent, samples: int):
         if len(model):
             b = Bucket(int(key[0]), model["blob"].iloc[0], to)
             total = b.spread(rows[rows["sweep"] == 0], 1)[0]
-            _, _, _, summed, kept = _unpack(rows.loc[rows["sweep"] == -1, "blob"].iloc[0], *SEATS)
+            _, summed, kept = _unpack(rows.loc[rows["sweep"] == -1, "blob"].iloc[0], *SEATS)
             kept = kept.reshape(samples, -1)
-            tables = samples * np.minimum(b.count, 1)
-            tables[b.many] = summed
-            p = np.maximum(samples * b.count - fixed["d"] * tables, 0)
+            p = samples * np.minimum(b.count, 1).astype(np.float64)
+            p[b.many] = summed
+            p = np.maximum(samples * b.count - fixed["d"] * p, 0)
             sweeps = sorted(set(rows["sweep"].tolist()) - {0, -1})
             for k, (s, known) in enumerate(zip(sweeps, history, strict=True)):
                 root = root_probability(*b.spread(rows[rows["sweep"] == s], 2), known)
-                around = b.instead(known["hot"], kept[k])
-                p = p + (fixed["theta"] + fixed["d"] * around)[b.of] * root[b.at]
-            score = np.log10(p / samples / (fixed["theta"] + b.instead(fixed["hot_customers"], b.customers))[b.of])
+                more = (fixed["theta"] + fixed["d"] * b.instead(known["hot"], kept[k]))[b.of]
+                more *= root[b.at]
+                p += more
+            p /= (samples * (fixed["theta"] + b.instead(fixed["hot_customers"], b.customers)))[b.of]
+            score, p, more = np.log10(p), None, None
             base = np.log10((total + 1) / (fixed["n"] + fixed["vocabulary"] + 1))
             keys = pair_key(b.contexts[b.of], b.words[b.at])
             order = np.argsort(keys)
-            keys, values = keys[order], [v[order] for v in (base[b.at], score, (total > 0)[b.at])]
+            at = b.at[order]
+            keys, values = keys[order], [base[at], score[order], (total > 0)[at]]
+            del b, order, at, score, rest, rows
             for chunk, own, blob in zip(asked["chunk"], asked["own"], asked["blob"], strict=True):
                 if not own:
                     pairs, count, doc = _unpack(blob, K.U, np.uint32, np.uint32)

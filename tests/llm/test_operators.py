@@ -9,6 +9,7 @@ import tracemalloc
 import zlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -238,6 +239,43 @@ def test_seating_begins_near_its_expectation():
     assert abs(seats.total()[count == 50].mean() / before[count == 50].mean() - 1) < 0.15
 
 
+def test_whole_dishes_follow_their_conditional():
+    """All tables of a dish, drawn at once, against the exact distribution of their number, for listed and larger dishes."""
+    for d, c, mean, m in ((0.6, 2, 0.7, 20_000), (0.6, 40, 3.0, 20_000), (0.8, lm.LISTED, 2.0, 5_000), (0.8, lm.LISTED + 60, 2.0, 2_000), (0.3, lm.LISTED + 60, 900.0, 1_000)):
+        ways = np.full(c + 1, -np.inf)  # logs of generalised Stirling numbers
+        ways[1] = 0.0
+        for k in range(1, c):
+            t = np.arange(1, k + 1)
+            ways[1 : k + 2] = np.logaddexp(np.append(np.log(k - t * d) + ways[1 : k + 1], -np.inf), ways[: k + 1])
+        want = ways[1:] + np.arange(1, c + 1) * math.log(mean * d)
+        want = np.exp(want - want.max())
+        want, t = want / want.sum(), np.arange(1, c + 1)
+        got = lm.draw_tables(np.full(m, c), np.full(m, 0.01), np.full(m, mean * 100), d, np.random.default_rng(c))
+        middle = (want * t).sum()
+        width = math.sqrt((want * t * t).sum() - middle**2)
+        assert got.min() >= 1 and got.max() <= c
+        assert abs(got.mean() - middle) < 4 * width / math.sqrt(m) and abs(got.std() / width - 1) < 0.1, (d, c, mean)
+        assert np.abs(np.cumsum(np.bincount(got, minlength=c + 1)[1:] / m - want)).max() < 2 / math.sqrt(m), (d, c, mean)
+    huge = lm.draw_tables(np.full(400, 10**8), np.full(400, 0.001), np.full(400, 5000.0), 0.7, np.random.default_rng(1))
+    assert abs(huge.mean() - 6) < 0.5  # one and a Poisson number, in the limit
+
+
+def test_a_sweep_redraws_all_customers():
+    """Dishes that begin with many tables have few after one sweep in which the parent's probabilities are small."""
+    words, to = 50, lm.Deal(1, np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    model = pd.DataFrame({"bucket": [0], "blob": [lm._pack(np.array([7], np.uint64), np.array([words], np.uint32), np.ones(words, np.uint64), np.arange(words, dtype=np.uint32), np.full(words, 300, np.uint32))]})
+    fixed = {"d": 0.6, "theta": 1.0, "theta0": 1.0, "base": 1e-9, "vocabulary": words, "n": 300 * words, "hot_customers": np.zeros(0, np.int64)}
+    none = np.zeros(0, np.int64)
+    reply = lambda *values: pd.DataFrame({"bucket": [0], "home": [0], "blob": [lm._pack(*(np.full(words, v, np.int64) for v in values))]})
+    tables = lambda out: lm._unpack(out.loc[out["home"] == 0, "blob"].iloc[0], np.int64)[0]
+    first = lm._sweep(to, 1, [], fixed | {"n": 300}, 9)((0,), model, reply(300))
+    assert tables(first).mean() > 50
+    known = fixed | {"hot": none, "hot_weight": none.astype(float), "all": 10**9, "all0": words, "d0": 0.5, "weight0": 100.0}
+    rows = pd.concat([reply(20, 1), first.loc[first["home"] == -1, ["bucket", "home", "blob"]]])
+    second = tables(lm._sweep(to, 2, [known], fixed, 9)((0,), model, rows))
+    assert second.min() >= 1 and second.mean() < 1.1
+
+
 def slow_scores(data, held, d, sweeps, burn):
     """The same model with every customer redrawn in turn and no state held still: mean probabilities of each token."""
     rng = np.random.default_rng(12)
