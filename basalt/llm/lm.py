@@ -151,8 +151,8 @@ def _gathered(batches: Iterator[pa.RecordBatch]):
             held.append((batch.column(0).slice(i, j - i).to_pylist(), out[i:j], word, context, doc + docs))
             size, docs = size + len(word), docs + j - i
             if size >= FLUSH:
-                yield _joined(held)
-                held, size, docs = [], 0, 0
+                run, held, size, docs = _joined(held), [], 0, 0
+                yield run
     if held:
         yield _joined(held)
 
@@ -167,13 +167,20 @@ def _runs(order_of: np.ndarray, buckets: int) -> Iterator[tuple[int, int, int]]:
         yield b, int(edges[b]), int(edges[b + 1])
 
 
+def _counted(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The place of one of each key, in order of keys, and the sum of n over equal ones."""
+    order = np.argsort(key)
+    key = key[order]
+    edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    return order[edge], np.add.reduceat(n[order], edge, dtype=np.uint32) if len(key) else np.zeros(0, np.uint32)
+
+
 def _train(to: Deal):
     """Pairs of a run by bucket, with their counts in training documents: 0 for those of other documents only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, out, word, context, doc in _gathered(batches):
-            _, first, pair = np.unique(pair_key(context, word), return_index=True, return_inverse=True)
-            count = np.bincount(pair, ~out[doc], len(first)).astype(np.uint32)
+            first, count = _counted(pair_key(context, word), ~out[doc])
             word, context = word[first], context[first]
             bucket = to.bucket(context, word)
             order = np.lexsort((context, bucket))
@@ -190,19 +197,32 @@ def _train(to: Deal):
 MODEL = (K.U, np.uint32, K.U, np.uint32, np.uint32)
 
 
-def _merge(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+def _merge(key: tuple, rows: pa.Table) -> pa.Table:
     """The pairs of a bucket: contexts, pairs of each, words, and each pair's place among the words and count."""
-    parts = [_unpack(z, K.U, np.uint32, K.U, np.uint32) for z in rows["blob"]]
-    context = np.concatenate([np.repeat(np.cumsum(p[0], dtype=K.U), p[1]) for p in parts])
-    word, count = np.concatenate([p[2] for p in parts]), np.concatenate([p[3] for p in parts])
-    del parts
-    _, first, pair = np.unique(pair_key(context, word), return_index=True, return_inverse=True)
-    count = np.bincount(pair, count, len(first)).astype(np.uint32)
-    contexts, of = np.unique(context[first], return_inverse=True)
-    words, at = np.unique(word[first], return_inverse=True)
-    order = np.lexsort((at, of))
-    blob = _pack(_steps(contexts), np.bincount(of, minlength=len(contexts)).astype(np.uint32), _steps(words), at[order].astype(np.uint32), count[order])
-    return pd.DataFrame({"bucket": [key[0]], "blob": [blob]})
+    held: tuple[list, list, list] = ([], [], [])
+    for z in rows["blob"]:
+        own, n, *rest = _unpack(z.as_buffer(), K.U, np.uint32, K.U, np.uint32)
+        for part, values in zip(held, (np.repeat(np.cumsum(own, dtype=K.U), n), *rest), strict=True):
+            part.append(values)
+    joined = []
+    for part in held:
+        joined.append(np.concatenate(part))
+        part.clear()
+    context, word, count = joined
+    del joined, own, n, rest, values
+    first, count = _counted(pair_key(context, word), count)
+    context, word = context[first], word[first]
+    del first
+    words, at = np.unique(word, return_inverse=True)
+    del word
+    at = at.astype(np.uint32)
+    order = np.lexsort((at, context))
+    context, at, count = context[order], at[order], count[order]
+    del order
+    contexts, per = np.unique(context, return_counts=True)
+    del context
+    blob = _pack(_steps(contexts), per.astype(np.uint32), _steps(words), at, count)
+    return pa.table({"bucket": pa.array([key[0].as_py()], pa.int32()), "blob": pa.array([blob], pa.binary())})
 
 
 # --- seating -------------------------------------------------------------------------------------
@@ -766,7 +786,7 @@ def score(docs: DataFrame, scratch: Scratch, bucket_bytes: int = 16 << 20, sampl
     files, name = min(buckets, 16_384), f"basalt_model_{uuid.uuid4().hex}"
     pairs = rows.mapInArrow(_train(to), "bucket int, blob binary").repartition(files, "bucket")
     try:
-        model = scratch.bucketed(pairs.groupBy("bucket").applyInPandas(_merge, "bucket int, blob binary"), "model", name, files, "bucket")
+        model = scratch.bucketed(pairs.groupBy("bucket").applyInArrow(_merge, "bucket int, blob binary"), "model", name, files, "bucket")
         fixed, history, replies, seats = sample(model, to, scratch, samples, burn)
         sent = spark.sparkContext.broadcast((to, fixed, history))
         known = replies.select("bucket", "home", "sweep", "blob").unionByName(seats.select("bucket", "home", F.lit(-1).alias("sweep"), "blob"))

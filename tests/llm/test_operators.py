@@ -276,6 +276,21 @@ def test_a_sweep_redraws_all_customers():
     assert second.min() >= 1 and second.mean() < 1.1
 
 
+def test_a_run_of_text_takes_bounded_memory():
+    """Counting the pairs of a run holds its tokens once, whatever comes after."""
+    rng, to = np.random.default_rng(8), lm.Deal(6, np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    text = [" ".join(f"w{x}" for x in rng.integers(0, 50_000, 1000)) for _ in range(1200)]
+    batch = pa.record_batch([pa.array(range(1200)), pa.array(text), pa.array([False] * 1200)], names=["doc_id", "text", "held"])
+    found = lm._train(to)(iter([batch]))
+    tracemalloc.start()
+    try:
+        assert sum(len(b) for b in found) == 12
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert most < 125_000_000, most
+
+
 def slow_scores(data, held, d, sweeps, burn):
     """The same model with every customer redrawn in turn and no state held still: mean probabilities of each token."""
     rng = np.random.default_rng(12)
