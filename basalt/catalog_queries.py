@@ -185,7 +185,10 @@ for how in ("left", "right", "full"):
     def _outer(spark, sf_dir, how=how):
         e = Engine(spark, sf_dir)
         left, right = e.table("customer").where("c_nationkey < 10"), e.table("supplier").where("s_nationkey > 5")
-        return joins.join(left, right, F.expr("c_nationkey = s_nationkey AND c_acctbal > s_acctbal"), how).select("c_custkey", "s_suppkey")
+        left, right = left.select("c_custkey", "c_nationkey", "c_acctbal"), right.select("s_suppkey", "s_nationkey", "s_acctbal")
+        if how != "full":
+            return joins.join(left, right, F.expr("c_nationkey = s_nationkey AND c_acctbal > s_acctbal"), how).select("c_custkey", "s_suppkey")
+        return joins.inequality_join(left, right, "c_nationkey", "s_nationkey", "c_acctbal", "s_acctbal", how).select("c_custkey", "s_suppkey")
 
 
 statement("join_theta", "SELECT n1.n_name AS a, n2.n_name AS b FROM nation n1 JOIN nation n2 ON n1.n_regionkey = n2.n_regionkey AND n1.n_nationkey < n2.n_nationkey")

@@ -44,6 +44,49 @@ def interval_join(left: DataFrame, right: DataFrame, low: str, high: str, other_
     return one.join(two, "_bucket").where(meet & first).drop("_bucket")
 
 
+#: Rows of a key, of either side, that meet in one part of a spread join; and pairs that a task of it looks at.
+PART_ROWS = 2048
+TASK_PAIRS = 1 << 25
+
+
+def inequality_join(left: DataFrame, right: DataFrame, key: str, other: str, value: str, bound: str, how: str = "inner", part_rows: int = PART_ROWS) -> DataFrame:
+    """Join on ``key = other AND value > bound``, for keys so few that each has many rows: no task has a whole key.
+
+    A key's rows are cut into parts of about ``part_rows`` by a hash of the row, on either side, and every two parts meet
+    once; rows alike in all columns stay in one part. What has no partner is known from the least ``bound`` and the
+    greatest ``value`` of its key, so no pairs are made for it. The keys' rows are counted when this is called; names
+    of the two sides must differ.
+    """
+    if how not in ("inner", "left", "right", "full"):
+        raise ValueError(f"unknown join {how}")
+    count = lambda df, k, n: df.where(F.col(k).isNotNull()).groupBy(F.col(k).alias("_k")).agg(F.count("*").cast("double").alias(n))
+    cuts = lambda n: F.ceil(F.col(n) / part_rows).cast("int")
+    sizes = count(left, key, "_n").join(count(right, other, "_m"), "_k").select("*", cuts("_n").alias("_rows"), cuts("_m").alias("_columns"))
+    work = F.sum(F.col("_n") * F.col("_m")) / TASK_PAIRS + F.sum(F.col("_n") * F.col("_columns") + F.col("_m") * F.col("_rows")) / (1 << 20)
+    many = F.greatest("_n", "_m") > part_rows
+    tasks, large = sizes.agg(F.coalesce(F.ceil(work), F.lit(1)).cast("long"), F.count_if(many)).first()
+    large_keys = sizes.where(many).select("_k", "_rows", "_columns").hint("broadcast" if large <= BROADCAST_LIMIT >> 6 else "merge")
+
+    def parts(df: DataFrame, k: str, own: str, facing: str) -> DataFrame:
+        n = lambda c: F.coalesce(F.col(c), F.lit(1))
+        dealt = df.where(F.col(k).isNotNull()).join(large_keys, F.col(k) == F.col("_k"), "left")
+        at = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), n(own)).cast("int").alias(f"{own}_at")
+        return dealt.select(*df.columns, at, F.explode(F.sequence(F.lit(0), n(facing) - 1)).alias(f"{facing}_at")).repartition(int(tasks), k, "_rows_at", "_columns_at")
+
+    one, two = parts(left, key, "_rows", "_columns"), parts(right, other, "_columns", "_rows")
+    met = (one[key] == two[other]) & (one["_rows_at"] == two["_rows_at"]) & (one["_columns_at"] == two["_columns_at"]) & (one[value] > two[bound])
+    out = one.join(two.hint("merge"), met).select(*left.columns, *right.columns)
+    if how in ("left", "full"):
+        least = right.groupBy(F.col(other).alias("_k")).agg(F.min(bound).alias("_least"))
+        alone = left.join(least, F.col(key) == F.col("_k"), "left").where(~F.coalesce(F.col(value) > F.col("_least"), F.lit(False)))
+        out = out.unionByName(alone.select(*left.columns), allowMissingColumns=True)
+    if how in ("right", "full"):
+        most = left.groupBy(F.col(key).alias("_k")).agg(F.max(value).alias("_most"))
+        alone = right.join(most, F.col(other) == F.col("_k"), "left").where(~F.coalesce(F.col("_most") > F.col(bound), F.lit(False)))
+        out = out.unionByName(alone.select(*right.columns), allowMissingColumns=True)
+    return out
+
+
 def join_statistics(left: DataFrame, right: DataFrame, key: str, other: str) -> DataFrame:
     """left_rows, right_rows, matched_rows and matched_keys of an equi-join, from counts by key: no joined row is made."""
     one = left.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.count("*").alias("a"))

@@ -148,3 +148,27 @@ def test_promotion_and_profiles(spark):
         profile.column_profile(spark.range(3), "id", ["id"], [])
     one = spark.createDataFrame([(5,), (5,), (None,)], "v int")
     assert [tuple(r) for r in profile.histogram(one, "v", 4).collect()] == [(0, 2, 5, 5)]
+
+
+ODD_LEFT = [(1, 1, 5.0), (2, 1, 5.0), (3, 1, None), (4, None, 9.0), (5, 2, 1.0), (6, 3, 7.0), (7, 1, float("nan")), (8, 1, 0.0), (9, 1, 5.0), (9, 1, 5.0), (10, 5, 4.0)]
+ODD_RIGHT = [(1, 1, 4.0), (2, 1, 5.0), (3, 1, None), (4, None, 1.0), (5, 2, 1.0), (6, 4, 0.0), (7, 1, float("nan")), (8, 1, -0.0), (8, 1, -0.0), (9, 5, 4.5), (10, 5, 3.5)]
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "right", "full"])
+@pytest.mark.parametrize("part_rows", [1, 2, 100])
+def test_joins_in_parts_are_the_plain_joins(spark, how, part_rows):
+    left, right = spark.createDataFrame(ODD_LEFT, "a int, k int, v double"), spark.createDataFrame(ODD_RIGHT, "b int, j int, w double")
+    plain = sorted(map(str, joins.join(left, right, F.expr("k = j AND v > w"), how).collect()))
+    assert sorted(map(str, joins.inequality_join(left, right, "k", "j", "v", "w", how, part_rows).collect())) == plain
+    none = joins.inequality_join(left.where("false"), right, "k", "j", "v", "w", how, part_rows)
+    assert none.count() == (len(ODD_RIGHT) if how in ("right", "full") else 0)
+
+
+@pytest.mark.parametrize("how", ["full"])
+def test_no_task_joins_all_rows_of_one_key(spark, tmp_path, how):
+    spark.range(6000).selectExpr("id AS c_custkey", "7 AS c_nationkey", "CAST(id AS DOUBLE) AS c_acctbal").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.range(5000).selectExpr("id AS s_suppkey", "7 AS s_nationkey", "CAST(id AS DOUBLE) AS s_acctbal").write.parquet(f"{tmp_path}/supplier.parquet")
+    tasks = queries()[f"join_{how}"](spark, str(tmp_path)).groupBy(F.spark_partition_id()).count().collect()
+    met = sum(min(c, 5000) for c in range(6000))
+    assert sum(r["count"] for r in tasks) == met + (how != "right")
+    assert max(r["count"] for r in tasks) < 0.8 * met
