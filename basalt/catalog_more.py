@@ -143,18 +143,19 @@ def bitmap_to_rows(df):
 @rows("bloom_contains", "part", "SELECT COUNT(*) AS kept FROM part WHERE p_size = 15")
 def bloom_contains(df):
     """No member is missing from the filter's answer."""
-    some = df.where("p_size = 15")
-    found = formats.bloom_contains(formats.bloom_index(some, "p_partkey"), df, "p_partkey")
+    some, bits = df.where("p_size = 15"), formats.bloom_bits(df.count())
+    found = formats.bloom_contains(formats.bloom_index(some, "p_partkey", bits), df, "p_partkey", bits)
     return found.join(some.select("p_partkey"), "p_partkey", "left_semi").agg(F.count("*").alias("kept"))
 
 
 @rows("bloom_algebra", "part", "SELECT COUNT(*) AS n, (SELECT COUNT(*) FROM part WHERE p_size > 10 AND p_size < 20) AS both, true AS few_errors FROM part WHERE p_size <= 10 OR p_size >= 20")
 def bloom_algebra(df):
     """Members of a union, and of an intersection; the expected share of errors is under a hundredth."""
-    of = lambda where: formats.bloom_index(df.where(where), "p_partkey")
-    union = formats.bloom_contains(formats.bloom_union(of("p_size <= 10"), of("p_size >= 20")), df.where("p_size <= 10 OR p_size >= 20"), "p_partkey")
-    both = formats.bloom_contains(formats.bloom_intersect(of("p_size > 10"), of("p_size < 20")), df.where("p_size > 10 AND p_size < 20"), "p_partkey")
-    rate = formats.bloom_false_positives(of("p_size <= 10")).select((F.col("fpr") < 0.01).alias("few_errors"))
+    bits = formats.bloom_bits(df.count())
+    of = lambda where: formats.bloom_index(df.where(where), "p_partkey", bits)
+    union = formats.bloom_contains(formats.bloom_union(of("p_size <= 10"), of("p_size >= 20")), df.where("p_size <= 10 OR p_size >= 20"), "p_partkey", bits)
+    both = formats.bloom_contains(formats.bloom_intersect(of("p_size > 10"), of("p_size < 20")), df.where("p_size > 10 AND p_size < 20"), "p_partkey", bits)
+    rate = formats.bloom_false_positives(of("p_size <= 10"), bits).select((F.col("fpr") < 0.01).alias("few_errors"))
     return union.agg(F.count("*").alias("n")).join(both.agg(F.count("*").alias("both")), how="cross").join(rate, how="cross")
 
 

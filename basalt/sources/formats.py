@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -93,6 +95,12 @@ def bitmap_rows(index: DataFrame) -> DataFrame:
     return bit.select("value", F.when(F.col("bucket") > 0, (F.col("bucket") - 1) * 32768 + F.col("at") * 8 + F.col("k") + 1).otherwise(F.col("bucket") * 32768 - F.col("at") * 8 - F.col("k")).alias("row"))
 
 
+def bloom_bits(rows: int, hashes: int = 5, errors: float = 0.005) -> int:
+    """Bits for filters of up to ``rows`` values so that the share of errors stays below ``errors``: whole bitmaps, 2 ** 20 at least."""
+    need = math.ceil(-hashes * rows / math.log(1 - errors ** (1 / hashes)))
+    return max(1 << 20, -(-need // 32768) * 32768)
+
+
 def bloom_index(df: DataFrame, column: str, bits: int = 1 << 20, hashes: int = 5) -> DataFrame:
     """A bloom filter as bitmaps of its bits: (bucket, bitmap); made by partial aggregation, nothing of it on the driver."""
     return _bloom_places(df.select(F.col(column).alias("v")).where("v is not null"), bits, hashes).groupBy(F.bitmap_bucket_number("place").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bitmap"))

@@ -172,3 +172,10 @@ def test_no_task_joins_all_rows_of_one_key(spark, tmp_path, how):
     met = sum(min(c, 5000) for c in range(6000))
     assert sum(r["count"] for r in tasks) == met + (how != "right")
     assert max(r["count"] for r in tasks) < 0.8 * met
+
+
+def test_blooms_grow_with_their_rows(spark, tmp_path):
+    assert formats.bloom_bits(0) == formats.bloom_bits(1000) == 1 << 20 and formats.bloom_bits(10**7) > 10**8
+    spark.range(150_000).selectExpr("id AS p_partkey", "IF(id < 140000, 5, 15) AS p_size").write.parquet(f"{tmp_path}/part.parquet")
+    assert tuple(queries()["bloom_algebra"](spark, str(tmp_path)).first()) == (140_000, 10_000, True)
+    assert queries()["bloom_contains"](spark, str(tmp_path)).first().kept == 10_000
