@@ -112,10 +112,11 @@ def codecs_read_back(spark, sf_dir):
 
 @register("encodings_read_back", "SELECT * FROM (VALUES ('flag', true, false), ('id', false, true)) AS t(\"column\", dictionary, delta)")
 def encodings_read_back(spark, sf_dir):
-    """Dictionary pages for few values, delta packing for a sequence without a dictionary."""
-    data = Engine(spark, sf_dir).table("lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_returnflag").alias("flag")).coalesce(1).sortWithinPartitions("id")
+    """Dictionary pages for few values, delta packing for a sequence without a dictionary; the sequence is cut into files of FILE_ROWS."""
+    data = Engine(spark, sf_dir).table("lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_returnflag").alias("flag"))
     options = {"parquet.writer.version": "PARQUET_2_0", "parquet.enable.dictionary#id": "false", "parquet.enable.dictionary#flag": "true"}
-    chunks = formats.column_chunks(spark, formats.write(data, workspace(spark, "encodings"), **options))
+    files = max(1, -(-data.count() // formats.FILE_ROWS))
+    chunks = formats.column_chunks(spark, formats.write_sorted(data, workspace(spark, "encodings"), ["id"], files, **options))
     has = lambda text: F.max(F.exists("encodings", lambda e: e.contains(text)))
     return chunks.groupBy("column").agg(has("DICTIONARY").alias("dictionary"), has("DELTA_BINARY").alias("delta"))
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 FORMATS = ("parquet", "orc", "csv", "json")
 OTHERS = ("text", "jdbc")  # one text column; a database, with its address and table as options
+FILE_ROWS = 1 << 22  # of narrow rows, that one task sorts and writes
 
 
 def write(df: DataFrame, path: str, kind: str = "parquet", mode: str = "errorifexists", partition_by: list[str] | None = None, **options: str) -> str:
@@ -29,10 +30,10 @@ def read(spark: SparkSession, path: str, kind: str = "parquet", schema=None, **o
     return reader.load() if kind == "jdbc" else reader.load(path)
 
 
-def write_sorted(df: DataFrame, path: str, columns: list[str], files: int | None = None) -> str:
+def write_sorted(df: DataFrame, path: str, columns: list[str], files: int | None = None, **options: str) -> str:
     """Range-partitioned and sorted, so row-group statistics prune equality and ranges."""
     spread = df.repartitionByRange(files, *columns) if files else df.repartitionByRange(*columns)
-    return write(spread.sortWithinPartitions(*columns), path, mode="overwrite")
+    return write(spread.sortWithinPartitions(*columns), path, mode="overwrite", **options)
 
 
 def write_bloom(df: DataFrame, path: str, columns: list[str], distinct: int = 1_000_000) -> str:

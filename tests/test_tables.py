@@ -179,3 +179,14 @@ def test_blooms_grow_with_their_rows(spark, tmp_path):
     spark.range(150_000).selectExpr("id AS p_partkey", "IF(id < 140000, 5, 15) AS p_size").write.parquet(f"{tmp_path}/part.parquet")
     assert tuple(queries()["bloom_algebra"](spark, str(tmp_path)).first()) == (140_000, 10_000, True)
     assert queries()["bloom_contains"](spark, str(tmp_path)).first().kept == 10_000
+
+
+def test_encodings_are_written_by_many_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(formats, "FILE_ROWS", 1000, raising=False)
+    monkeypatch.setattr("basalt.catalog_more.workspace", lambda spark, name: f"{tmp_path}/{name}")
+    got = sorted(map(tuple, queries()["encodings_read_back"](spark, SF).collect()))
+    assert got == [("flag", True, False), ("id", False, True)]
+    files = spark.read.parquet(f"{tmp_path}/encodings").groupBy(F.input_file_name()).agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("n")).orderBy("low").collect()
+    lines = spark.read.parquet(f"{SF}/lineitem.parquet").count()
+    assert len(files) > 3 and sum(f.n for f in files) == lines and max(f.n for f in files) < lines / 2
+    assert all(a.high < b.low for a, b in zip(files, files[1:], strict=False))
