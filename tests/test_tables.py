@@ -164,7 +164,7 @@ def test_joins_in_parts_are_the_plain_joins(spark, how, part_rows):
     assert none.count() == (len(ODD_RIGHT) if how in ("right", "full") else 0)
 
 
-@pytest.mark.parametrize("how", ["right", "full"])
+@pytest.mark.parametrize("how", ["left", "right", "full"])
 def test_no_task_joins_all_rows_of_one_key(spark, tmp_path, how):
     spark.range(6000).selectExpr("id AS c_custkey", "7 AS c_nationkey", "CAST(id AS DOUBLE) AS c_acctbal").write.parquet(f"{tmp_path}/customer.parquet")
     spark.range(5000).selectExpr("id AS s_suppkey", "7 AS s_nationkey", "CAST(id AS DOUBLE) AS s_acctbal").write.parquet(f"{tmp_path}/supplier.parquet")
