@@ -166,8 +166,8 @@ def test_joins_in_parts_are_the_plain_joins(spark, how, part_rows):
 
 @pytest.mark.parametrize("how", ["left", "right", "full"])
 def test_no_task_joins_all_rows_of_one_key(spark, tmp_path, how):
-    spark.range(6000).selectExpr("id AS c_custkey", "7 AS c_nationkey", "CAST(id AS DOUBLE) AS c_acctbal").write.parquet(f"{tmp_path}/customer.parquet")
-    spark.range(5000).selectExpr("id AS s_suppkey", "7 AS s_nationkey", "CAST(id AS DOUBLE) AS s_acctbal").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.range(6000).selectExpr("id AS c_custkey", "7 AS c_nationkey", "CAST(id AS DOUBLE) AS c_acctbal").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    spark.range(5000).selectExpr("id AS s_suppkey", "7 AS s_nationkey", "CAST(id AS DOUBLE) AS s_acctbal").coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
     tasks = queries()[f"join_{how}"](spark, str(tmp_path)).groupBy(F.spark_partition_id()).count().collect()
     met = sum(min(c, 5000) for c in range(6000))
     assert sum(r["count"] for r in tasks) == met + (how != "right")
@@ -175,10 +175,10 @@ def test_no_task_joins_all_rows_of_one_key(spark, tmp_path, how):
 
 
 def test_blooms_grow_with_their_rows(spark, tmp_path):
-    assert formats.bloom_bits(0) == formats.bloom_bits(1000) == 1 << 20 and formats.bloom_bits(10**7) > 10**8
     spark.range(150_000).selectExpr("id AS p_partkey", "IF(id < 140000, 5, 15) AS p_size").write.parquet(f"{tmp_path}/part.parquet")
     assert tuple(queries()["bloom_algebra"](spark, str(tmp_path)).first()) == (140_000, 10_000, True)
     assert queries()["bloom_contains"](spark, str(tmp_path)).first().kept == 10_000
+    assert formats.bloom_bits(0) == formats.bloom_bits(1000) == 1 << 20 and formats.bloom_bits(10**7) > 10**8
 
 
 def test_encodings_are_written_by_many_tasks(spark, tmp_path, monkeypatch):
